@@ -9,24 +9,32 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
+def _escaped(c: Column) -> Column:
+    """Backslashes and line ends escaped, so that a literal stays on one line."""
+    for raw, safe in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
 def sql_text(c: Column, parity: bool = False) -> Column:
-    """Quoted text. Quotes are doubled; backslashes too, unless ``parity``."""
+    """Quoted text with quotes doubled; ``parity`` leaves all else unescaped."""
     if not parity:
-        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+        c = _escaped(c)
     return _quoted(F.replace(c, F.lit("'"), F.lit("''")))
 
 
 def sql_json(c: Column, parity: bool = False) -> Column:
-    """Quoted JSON text with ``"`` as ``\\"``; backslash and ``'`` too, unless ``parity``."""
+    """Quoted JSON text with ``"`` as ``\\"``; ``parity`` leaves all else unescaped."""
     if not parity:
-        c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-        c = F.replace(c, F.lit("'"), F.lit("''"))
+        c = F.replace(_escaped(c), F.lit("'"), F.lit("''"))
     return _quoted(F.replace(c, F.lit('"'), F.lit('\\"')))
 
 
 def sql_float(c: Column, lossless: bool = False) -> Column:
     """Six fixed decimals, or the shortest exact text with ``lossless``."""
-    return c.cast("string") if lossless else F.format_string("%f", c)
+    if lossless:
+        return c.cast("string")
+    return F.when(c.isNotNull(), F.format_string("%f", c))
 
 
 def sql_bit(c: Column) -> Column:

@@ -34,9 +34,9 @@ def _matched(df: DataFrame, keys: DataFrame, key: str, how: str, max_keys: int |
         "salt",
         F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(slices))).otherwise(0),
     )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    last = F.when(is_hot, slices - 1).otherwise(0).cast("long")
     spread = keys.join(hot, key, "left").select(
-        key, F.explode(copies).cast("long").alias("salt")
+        key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("salt")
     )
     return salted.join(spread, [key, "salt"], how).select(df.columns)
 
