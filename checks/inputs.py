@@ -18,6 +18,12 @@ EVENTS_PER_LOG = 2000
 DOCS_PER_FILE = 20
 EVENTS_PER_BINLOG = 50
 
+IDLE_METRICS = (
+    " Read_first: 0 Read_last: 0 Read_key: 0 Read_next: 0 Read_prev: 0 Read_rnd: 0 Read_rnd_next: 0"
+    " Sort_merge_passes: 0 Sort_range_count: 0 Sort_rows: 0 Sort_scan_count: 0"
+    " Created_tmp_disk_tables: 0 Created_tmp_tables: 0 Count_hit_tmp_table_size: 0 "
+)
+
 _made: dict[tuple[str, str, str], str] = {}
 
 
@@ -54,9 +60,11 @@ def _log_text(faulty: bool) -> Column:
         (F.col("user_id") % 250).cast("string"), F.lit("]  Id: "), number,
         F.lit("\n# Query_time: "), query_time, F.lit("  Lock_time: 0.00"),
         (event % 7).cast("string"), F.lit(" Rows_sent: "), sent,
-        F.lit("  Rows_examined: "), number, F.lit(" Thread_id: 4 Errno: 0 Bytes_sent: "),
-        F.length("props").cast("string"), F.lit(" Bytes_sent: "), number,
-        F.lit(" Unknown: 5 Start: "), stamp, F.lit("Z End: "), stamp, F.lit("Z\nuse app;\nSET timestamp="),
+        F.lit("  Rows_examined: "), number,
+        F.lit(" Thread_id: 4 Errno: 0 Killed: 0 Bytes_received: 0 Bytes_sent: "),
+        F.when(event % 6 == 0, F.concat(F.lit("7 Bytes_sent: "), number)).otherwise(number),
+        F.when(event % 4 == 1, F.lit(" Unknown:\t5")).otherwise(""), F.lit(IDLE_METRICS),
+        F.lit(" Start: "), stamp, F.lit("Z End: "), stamp, F.lit("Z \nuse app;\nSET timestamp="),
         number, F.lit(";\nSELECT * FROM "), F.col("event_type"), F.lit("_"),
         (F.col("user_id") % 20).cast("string"), F.lit(" -- x\n"), comment,
         F.lit("WHERE user_id = "), user, F.lit(" AND props = '"), F.col("props"),

@@ -14,7 +14,9 @@ WHOLE_NUMBER = r"(?<![0-9A-Za-z_])[0-9]+(?![0-9A-Za-z_])"
 SINGLE_QUOTED = r"'[^']*'"
 DOUBLE_QUOTED = r'"[^"]*"'
 
-WHITE_SPACE_RUN = "[" + WHITE_SPACE + "]+"
+WHITE_SPACE_RUN = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+ASCII_SPACE_RUN = "[\t-\r ]+"
+INT_TEXT = r"^[+-]?[0-9]+\z"
 FLOAT_TEXT = (
     r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:[+-]?inf(?:inity)?|nan))\z"
 )
@@ -41,23 +43,27 @@ def strip_semicolons(c: Column) -> Column:
     return F.replace(c, F.lit(";"), F.lit(""))
 
 
+def ascii_spaces(c: Column) -> Column:
+    """Every white space beyond ASCII as a space; ASCII text is passed through."""
+    wide = "".join(ch for ch in WHITE_SPACE if ord(ch) > 127)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(
+        F.translate(c, wide, " " * len(wide))
+    )
+
+
 def tokens(c: Column) -> Column:
     """White-space separated words, without empty ones."""
     return F.filter(F.split(c, WHITE_SPACE_RUN), lambda t: t != "")
 
 
-def strip_colon(c: Column) -> Column:
-    """Drop one trailing ``:``."""
-    return F.when(c.endswith(":"), F.left(c, F.length(c) - 1)).otherwise(c)
-
-
 def to_number(c: Column, kind: str) -> Column:
     """Text to ``float`` (double) or ``int`` (64 bit); NULL when it is neither.
 
     Decimal text beyond the range of a double is NULL, not infinity.
     """
     if kind == "int":
-        return c.try_cast("bigint")
+        # The pattern spares the cast most of what it would fail on, which is slow.
+        return F.when(c.rlike(INT_TEXT), c.try_cast("bigint"))
     if kind != "float":
         raise ValueError(f"unknown number kind: {kind}")
     value = c.try_cast("double")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opstrail.functions.text import (
-    WHITE_SPACE_RUN,
+    ASCII_SPACE_RUN,
+    ascii_spaces,
     mask_literals,
-    strip_colon,
     strip_semicolons,
     to_number,
     trim_ws,
@@ -52,10 +52,8 @@ USER_SHAPE = (
 TIME_ERROR = "fail to parse time"
 USER_ERROR = "fail to parse user and host, line: "
 
-HEADER_LINES = r"(?md)^# (?:User|Query_time)[^\n]*"
 COMMENT_LINES = r"(?md)^(?:--|#)[^\n]*(?:\n|\z)"
-LINE_END = "\u0001"  # a token no log line holds, keeps pairs from spanning lines
-
+LINE_END = "\u0001"  # a word no log line holds, keeps pairs from spanning lines
 RECORD_FIELDS = (
     ["time", "user", "host_ip", *FLOAT_METRICS.values(), *INT_METRICS.values()]
     + [*TEXT_METRICS.values(), "query"]
@@ -120,97 +118,155 @@ def with_time(records: DataFrame, as_instant: bool = False) -> DataFrame:
     )
 
 
-def with_headers(records: DataFrame) -> DataFrame:
-    """``headers``: the user and metric lines of a record, in order."""
-    return records.withColumn(
-        "headers", F.regexp_extract_all("text", F.lit(HEADER_LINES), F.lit(0))
-    )
+def _with_lines(records: DataFrame, name: str, prefix: str) -> DataFrame:
+    """``name``: the lines with a prefix. One such line, the usual case, needs no regex."""
+    start = F.position(F.lit("\n" + prefix), F.col("text"))
+    found = records.withColumn("line_at", start)
+    second = F.position(F.lit("\n" + prefix), F.col("text"), F.col("line_at") + 1)
+    line = F.substring_index(F.substr("text", F.col("line_at") + 1), "\n", 1)
+    every = F.regexp_extract_all("text", F.lit(rf"(?md)^{prefix}[^\n]*"), F.lit(0))
+    return found.withColumn(
+        name,
+        F.when(F.col("line_at") == 0, F.array().cast("array<string>"))
+        .when(second == 0, F.array(line))
+        .otherwise(every),
+    ).drop("line_at")
 
 
 def with_user_host(records: DataFrame) -> DataFrame:
     """``user`` and ``host_ip`` of the last user line; ``user_error`` for a malformed one."""
-    lines = records.withColumn(
-        "user_lines", F.filter("headers", lambda line: line.startswith("# User"))
-    )
+    lines = _with_lines(records, "user_lines", "# User")
     last = F.try_element_at("user_lines", F.lit(-1))
-    bad = F.get(F.filter("user_lines", lambda line: ~line.rlike(USER_SHAPE)), F.lit(0))
-    return lines.withColumns(
+    parsed = lines.withColumns(
         {
             "user": F.coalesce(F.regexp_extract(last, USER_SHAPE, 1), F.lit("")),
             "host_ip": F.coalesce(trim_ws(F.regexp_extract(last, USER_SHAPE, 2)), F.lit("")),
-            "user_error": F.concat(F.lit(USER_ERROR), bad),
         }
-    ).drop("user_lines")
+    )
+    bad = F.when(
+        F.size("user_lines") > 1,
+        F.get(F.filter("user_lines", lambda line: ~line.rlike(USER_SHAPE)), F.lit(0)),
+    ).when(F.col("user") == "", last)
+    return parsed.withColumn("user_error", F.concat(F.lit(USER_ERROR), bad)).drop("user_lines")
 
 
-def _bad_pair(pair: Column) -> Column:
-    return (
+def _is_bad(pair: Column) -> Column:
+    return pair["value"].isNotNull() & (
         F.when(pair["name"].isin(*FLOAT_METRICS), to_number(pair["value"], "float").isNull())
         .when(pair["name"].isin(*INT_METRICS), to_number(pair["value"], "int").isNull())
         .otherwise(False)
     )
 
 
+def _first(items: Column | str, where) -> Column:
+    return F.get(F.filter(items, where), F.lit(0))
+
+
 def with_metrics(records: DataFrame) -> DataFrame:
     """The two float, 21 integer and two text metrics; ``metric_error`` for a bad number.
 
     Each word of a metric line is a name for the word after it. Unknown names
     are ignored and the last of repeated names counts; a bad number counts
-    wherever it stands.
+    wherever it stands. A ``plain`` line has the metrics in their usual order
+    and nothing else, so its values are every second word; the words of any
+    other line are paired one by one. Metrics are handled as arrays, which
+    keeps the generated code small enough to be compiled well.
     """
     names = [*FLOAT_METRICS, *INT_METRICS, *TEXT_METRICS]
-    metric_lines = F.transform(
-        F.filter("headers", lambda line: line.startswith("# Query_time")),
-        lambda line: F.substr(line, F.lit(3)),
+    n_float, n_int = len(FLOAT_METRICS), len(INT_METRICS)
+    known = F.array(*map(F.lit, names))
+    usual = F.array(*[F.lit(f"{n}:") for n in names])
+    text = _with_lines(records, "metric_lines", "# Query_time").withColumn(
+        "metric_text", trim_ws(F.array_join("metric_lines", f" {LINE_END} "))
     )
-    words = records.withColumn(
-        "words", F.split(F.array_join(metric_lines, f" {LINE_END} "), WHITE_SPACE_RUN)
-    ).withColumn("words", F.filter("words", lambda w: w != ""))
-    pairs = words.withColumn(
-        "pairs",
-        F.filter(
-            F.zip_with(
-                "words",
-                F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))),
-                lambda name, value: F.struct(
-                    strip_colon(name).alias("name"), value.alias("value")
-                ),
+    words = text.withColumn("words", F.array_remove(F.split("metric_text", " "), ""))
+    halves = words.withColumns(
+        {
+            "odd_words": F.filter("words", lambda w, i: i % 2 == 1),
+            "even_words": F.filter("words", lambda w, i: (i > 0) & (i % 2 == 0)),
+        }
+    )
+    plain = halves.withColumn(
+        "plain",
+        (F.col("odd_words") == F.slice(usual, 1, F.size("odd_words")))
+        & (F.size("odd_words") == F.size("even_words"))
+        & (F.octet_length("metric_text") == F.length("metric_text"))
+        & ~F.col("metric_text").rlike(r"[\t-\r\x01]"),
+    )
+    # The words of a line that is not plain, split at any white space.
+    other = plain.withColumn(
+        "words",
+        F.when(~F.col("plain"), F.split(ascii_spaces(F.col("metric_text")), ASCII_SPACE_RUN)),
+    )
+    pairs = F.filter(
+        F.zip_with(
+            "words",
+            F.slice("words", 2, F.size("words")),
+            lambda name, value: F.struct(
+                F.regexp_replace(name, r":\z", "").alias("name"), value.alias("value")
             ),
-            lambda p: p["name"].isin(*names) & (p["value"] != LINE_END),
         ),
+        lambda p: p["name"].isin(*names) & (p["value"] != LINE_END),
+    )
+    paired = other.withColumn("pairs", pairs)
+    last_of_each = F.when(
+        F.size(F.array_distinct("pairs.name")) == F.size("pairs"), F.col("pairs")
+    ).otherwise(
+        F.filter(
+            "pairs",
+            lambda p, i: ~F.array_contains(F.slice("pairs.name", i + 2, F.size("pairs")), p["name"]),
+        )
     )
-    repeated = F.size(F.array_distinct("pairs.name")) < F.size("pairs")
-    last_of_each = F.filter(
-        "pairs",
-        lambda p, i: ~F.exists(
-            F.slice("pairs", i + 2, F.size("pairs")), lambda later: later["name"] == p["name"]
+    mapped = paired.withColumn("metrics", F.map_from_entries(last_of_each))
+    values = mapped.withColumn(
+        "values",
+        F.when(F.col("plain"), F.col("even_words")).otherwise(
+            F.array(*[F.try_element_at("metrics", F.lit(n)) for n in names])
         ),
     )
-    bad = F.get(F.filter("pairs", _bad_pair), F.lit(0))["name"]
-    mapped = pairs.withColumns(
+    numbers = values.withColumns(
         {
-            "metrics": F.map_from_entries(
-                F.when(repeated, last_of_each).otherwise(F.col("pairs"))
+            "floats": F.transform(F.slice("values", 1, n_float), lambda v: to_number(v, "float")),
+            "ints": F.transform(
+                F.slice("values", 1 + n_float, n_int), lambda v: to_number(v, "int")
             ),
-            "metric_error": F.concat(
+        }
+    )
+    n_given = F.size(F.array_compact(F.slice("values", 1, n_float + n_int)))
+    n_parsed = F.size(F.array_compact("floats")) + F.size(F.array_compact("ints"))
+    bad_pair = F.when(
+        F.col("plain"),
+        F.when(
+            n_parsed < n_given,
+            _first(F.arrays_zip(known.alias("name"), F.col("even_words").alias("value")), _is_bad),
+        ),
+    ).otherwise(_first("pairs", _is_bad))
+    columns = {
+        c: F.coalesce(F.get("floats", F.lit(i)), F.lit(0.0))
+        for i, c in enumerate(FLOAT_METRICS.values())
+    }
+    columns |= {
+        c: F.coalesce(F.get("ints", F.lit(i)), F.lit(0).cast("bigint"))
+        for i, c in enumerate(INT_METRICS.values())
+    }
+    columns |= {
+        c: F.coalesce(F.get("values", F.lit(n_float + n_int + i)), F.lit(""))
+        for i, c in enumerate(TEXT_METRICS.values())
+    }
+    bad = F.col("bad_metric")
+    return (
+        numbers.withColumns({**columns, "bad_metric": bad_pair["name"]})
+        .withColumn(
+            "metric_error",
+            F.concat(
                 F.lit("fail to convert "),
                 bad,
                 F.when(bad.isin(*FLOAT_METRICS), " to float64").otherwise(" to int"),
             ),
-        }
+        )
+        .select(*records.columns, *columns, "metric_error")
     )
 
-    def value(name: str) -> Column:
-        return F.try_element_at("metrics", F.lit(name))
-
-    typed = {c: F.coalesce(to_number(value(n), "float"), F.lit(0.0)) for n, c in FLOAT_METRICS.items()}
-    typed |= {
-        c: F.coalesce(to_number(value(n), "int"), F.lit(0).cast("bigint"))
-        for n, c in INT_METRICS.items()
-    }
-    typed |= {c: F.coalesce(value(n), F.lit("")) for n, c in TEXT_METRICS.items()}
-    return mapped.withColumns(typed).drop("words", "pairs", "metrics")
-
 
 def with_query(records: DataFrame, mask: bool = False) -> DataFrame:
     """``query``: the lines after the first one starting ``SET``.
@@ -227,16 +283,20 @@ def with_query(records: DataFrame, mask: bool = False) -> DataFrame:
 
 
 def parse_records(raw: DataFrame, mask: bool = False, split_blocks: bool = False) -> DataFrame:
-    """Raw records as typed ones with ``error``, the first thing wrong in the record."""
-    records = with_headers(with_time(split_records(raw, split_blocks)))
+    """Raw records as typed ones with ``error``, the first thing wrong in the record.
+
+    A record leaves as one struct that is unpacked again: filters on its
+    fields then work on parsed values, where the optimizer would otherwise
+    repeat the parsing inside each filter.
+    """
+    records = with_time(split_records(raw, split_blocks))
     records = with_query(with_metrics(with_user_host(records)), mask)
-    error = F.coalesce(
-        "scan_error",
-        F.when(F.col("time") == "", TIME_ERROR),
-        "user_error",
-        "metric_error",
+    errors = F.array(
+        "scan_error", F.when(F.col("time") == "", TIME_ERROR), "user_error", "metric_error"
     )
-    return records.select("file", *POSITION, "lead", *RECORD_FIELDS, error.alias("error"))
+    error = _first(errors, lambda e: e.isNotNull())
+    record = F.struct("file", *POSITION, "lead", *RECORD_FIELDS, error.alias("error"))
+    return records.select(F.inline(F.array(record)))
 
 
 def timed() -> Column:
