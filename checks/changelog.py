@@ -67,6 +67,10 @@ def replay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.replay_plan(files, 123, ops.stop_coordinate(events, STOP))
 
 
+def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_plan(spark, sf_dir).fillna(-1)
+
+
 def replay_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.replay_commands(replay_plan(spark, sf_dir))
 
@@ -119,7 +123,7 @@ QUERIES = {
     "after_start": read_events,
     "stop_coordinate": stop_coordinate,
     "replay_window": replay_window,
-    "replay_plan": replay_plan,
+    "replay_plan": replay_steps,
     "replay_commands": replay_commands,
     "dump_coordinates": dump_coordinates,
     "restore_table": restore_table,
@@ -184,7 +188,8 @@ ORACLE = {
       FROM events WHERE (event_id // {PER_LOG}, (event_id + 1) * 100) > ({START_SEQ}, {START_POS})""",
     "stop_coordinate": f"WITH {CUT}, {BEFORE} SELECT log_seq, log_pos FROM before ORDER BY 1 DESC, 2 DESC LIMIT 1",
     "replay_window": f"{WINDOW} SELECT * FROM win",
-    "replay_plan": f"{PLAN} SELECT * FROM plan",
+    "replay_plan": f"""{PLAN} SELECT ord, log_file, coalesce(start_pos, -1) AS start_pos,
+        coalesce(stop_pos, -1) AS stop_pos, batch_id FROM plan""",
     "replay_commands": f"""{PLAN} SELECT batch_id, string_agg(log_file
         || coalesce(' --start-position=' || start_pos, '')
         || coalesce(' --stop-position=' || stop_pos, ''), ' ' ORDER BY ord) AS command

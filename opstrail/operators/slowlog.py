@@ -202,22 +202,24 @@ def with_metrics(records: DataFrame) -> DataFrame:
         F.zip_with(
             "words",
             F.slice("words", 2, F.size("words")),
-            lambda name, value: F.struct(
-                F.regexp_replace(name, r":\z", "").alias("name"), value.alias("value")
-            ),
+            lambda name, value: F.struct(name.alias("name"), value.alias("value")),
         ),
-        lambda p: p["name"].isin(*names) & (p["value"] != LINE_END),
+        lambda p: p["name"].isin(*names, *[f"{n}:" for n in names]) & (p["value"] != LINE_END),
     )
-    paired = other.withColumn("pairs", pairs)
-    last_of_each = F.when(
-        F.size(F.array_distinct("pairs.name")) == F.size("pairs"), F.col("pairs")
-    ).otherwise(
-        F.filter(
-            "pairs",
-            lambda p, i: ~F.array_contains(F.slice("pairs.name", i + 2, F.size("pairs")), p["name"]),
-        )
+    paired = other.withColumn("pairs", pairs).withColumn(
+        "names", F.transform("pairs.name", lambda n: F.rtrim(n, F.lit(":")))
+    )
+    paired = paired.withColumn("repeated", F.size(F.array_distinct("names")) < F.size("names"))
+    last_of_each = F.filter(
+        F.arrays_zip(F.col("names").alias("name"), F.col("pairs.value").alias("value")),
+        lambda p, i: ~F.array_contains(F.slice("names", i + 2, F.size("names")), p["name"]),
+    )
+    mapped = paired.withColumn(
+        "metrics",
+        F.when(F.col("repeated"), F.map_from_entries(last_of_each)).otherwise(
+            F.map_from_arrays("names", F.col("pairs.value"))
+        ),
     )
-    mapped = paired.withColumn("metrics", F.map_from_entries(last_of_each))
     values = mapped.withColumn(
         "values",
         F.when(F.col("plain"), F.col("even_words")).otherwise(
@@ -227,20 +229,18 @@ def with_metrics(records: DataFrame) -> DataFrame:
     numbers = values.withColumns(
         {
             "floats": F.transform(F.slice("values", 1, n_float), lambda v: to_number(v, "float")),
-            "ints": F.transform(
-                F.slice("values", 1 + n_float, n_int), lambda v: to_number(v, "int")
-            ),
+            "ints": F.slice("values", 1 + n_float, n_int).try_cast("array<bigint>"),
         }
     )
     n_given = F.size(F.array_compact(F.slice("values", 1, n_float + n_int)))
     n_parsed = F.size(F.array_compact("floats")) + F.size(F.array_compact("ints"))
-    bad_pair = F.when(
+    given = F.when(
         F.col("plain"),
-        F.when(
-            n_parsed < n_given,
-            _first(F.arrays_zip(known.alias("name"), F.col("even_words").alias("value")), _is_bad),
-        ),
-    ).otherwise(_first("pairs", _is_bad))
+        F.arrays_zip(known.alias("name"), F.col("even_words").alias("value")),
+    ).otherwise(F.arrays_zip(F.col("names").alias("name"), F.col("pairs.value").alias("value")))
+    bad_pair = F.when(
+        F.coalesce("repeated", F.lit(False)) | (n_parsed < n_given), _first(given, _is_bad)
+    )
     columns = {
         c: F.coalesce(F.get("floats", F.lit(i)), F.lit(0.0))
         for i, c in enumerate(FLOAT_METRICS.values())
@@ -342,6 +342,7 @@ def slowest_groups(records: DataFrame) -> DataFrame:
                 F.struct(-slowness, *POSITION),
             ).alias("best"),
             F.min(F.struct(*POSITION)).alias("first_at"),
+            F.max(F.struct(*POSITION)).alias("last_at"),
             F.count(F.lit(1)).alias("n_records"),
         )
     )
@@ -354,7 +355,9 @@ def slowest_per_query(groups: DataFrame) -> DataFrame:
     that a plan with both runs the scan and the aggregation once.
     """
     kept = groups.where(
-        (F.col("best.kind") == "query") & (F.col("n_records") > 0) & F.col("first_at").isNotNull()
+        (F.col("best.kind") == "query")
+        & (F.col("n_records") > 0)
+        & (F.col("first_at") <= F.col("last_at"))
     )
     return kept.select(*[F.col(f"best.{c}").alias(c) for c in ["file", *POSITION, *RECORD_FIELDS]])
 
@@ -375,13 +378,16 @@ def file_status(groups: DataFrame) -> DataFrame:
     """``(file, ok, error, n_records)`` per file with at least one record.
 
     Text before the first record fails nothing: a ``lead`` record is an error
-    only if another record of the file comes before it. Input is reduced to a
-    few rows per file and task before it is shuffled.
+    only if another record of the file comes before it. ``error`` is the
+    file's first; after such text, where several times are malformed, they
+    count from the last one. Input is reduced to a few rows per file and task
+    before it is shuffled.
     """
     kind = F.col("best.kind")
     per_file = groups.groupBy(F.col("best.file").alias("file")).agg(
         F.min("first_at").alias("file_first"),
         F.min(F.when(kind == "lead", F.col("first_at"))).alias("lead_first"),
+        F.max(F.when(kind == "lead", F.col("last_at"))).alias("lead_last"),
         F.coalesce(F.sum(F.when(kind == "lead", F.col("n_records"))), F.lit(0)).alias("n_lead"),
         F.min(
             F.when(kind == "error", F.struct("first_at", F.col("best.error").alias("error")))
@@ -390,9 +396,9 @@ def file_status(groups: DataFrame) -> DataFrame:
     )
     preamble = F.coalesce(F.col("lead_first") == F.col("file_first"), F.lit(False)).cast("int")
     late_lead = F.col("n_lead") > preamble
+    lead_at = F.when(preamble == 0, F.col("lead_first")).otherwise(F.col("lead_last"))
     lead_wins = late_lead & (
-        F.col("first_error").isNull()
-        | ((preamble == 0) & (F.col("lead_first") < F.col("first_error.first_at")))
+        F.col("first_error").isNull() | (lead_at < F.col("first_error.first_at"))
     )
     error = F.when(lead_wins, TIME_ERROR).otherwise(F.col("first_error.error"))
     return per_file.select(

@@ -79,6 +79,7 @@ def _merged_groups(parts: DataFrame) -> DataFrame:
     return parts.groupBy("group_hash", "file", "group_key").agg(
         F.min_by("best", order).alias("best"),
         F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
         F.max("n_records").alias("n_records"),
     )
 
