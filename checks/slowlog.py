@@ -84,10 +84,9 @@ def stream_slow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("event_type="), "event_type", F.lit(",chunk="), F.col("chunk").cast("string")
     )
     named = files.withColumn("name", name)
-    for drop in (1, 0):  # later logs arrive first
-        copy_files(named.where(F.col("chunk") % 2 == drop), f"{run}/in").write.parquet(
-            f"{run}/copied-{drop}"
-        )
+    late = (F.col("chunk") % 2 == 1) | (F.col("event_type") > "m")
+    for drop in (True, False):  # later logs arrive first
+        copy_files(named.where(late == drop), f"{run}/in").write.parquet(f"{run}/copied-{drop}")
         stream_slowlog(
             spark, f"{run}/in", f"{run}/table", f"{run}/checkpoint", mask=True, max_files=100
         ).awaitTermination()

@@ -283,7 +283,7 @@ def with_query(records: DataFrame, mask: bool = False) -> DataFrame:
 
 
 def parse_records(raw: DataFrame, mask: bool = False, split_blocks: bool = False) -> DataFrame:
-    """Raw records as typed ones with ``error``, the first thing wrong in the record.
+    """Raw records as typed ones with ``error``: a fault of the scan, time, user or a number.
 
     A record leaves as one struct that is unpacked again: filters on its
     fields then work on parsed values, where the optimizer would otherwise

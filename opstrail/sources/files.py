@@ -15,6 +15,11 @@ def as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def decoded(uri: Column) -> Column:
+    """A file name as it is, from its percent-encoded form in scan metadata."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def name_filter(pattern: str, name: Column, uri: Column, paths: list[str]) -> Column:
     """Glob on the base name; a path given in full is kept whatever its name."""
     keep = name.rlike(glob_to_regex(pattern))
@@ -35,7 +40,7 @@ def scan_listing(spark: SparkSession, paths, recursive: bool = False) -> DataFra
         .load(as_list(paths))
         .select(
             "path",
-            F.col("_metadata.file_name").alias("name"),
+            base_name(F.col("path")).alias("name"),
             "length",
             "modificationTime",
             F.col("_metadata.file_path").alias("uri"),
@@ -104,7 +109,7 @@ def read_lines(
     the order inside a file. ``sniff=False`` trusts names and peeks at nothing.
     """
     paths = as_list(paths)
-    meta_path, meta_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    meta_path = F.col("_metadata.file_path")
     plain = (
         spark.read.option("lineSep", separator)
         .option("recursiveFileLookup", str(recursive).lower())
@@ -112,13 +117,14 @@ def read_lines(
     )
     listing = scan_listing(spark, paths, recursive)
     if pattern:
-        plain = plain.where(name_filter(pattern, meta_name, meta_path, paths))
-        listing = listing.where(name_filter(pattern, F.col("name"), F.col("uri"), paths))
+        name = decoded(F.col("_metadata.file_name"))
+        plain = plain.where(name_filter(pattern, name, decoded(meta_path), paths))
+        listing = listing.where(name_filter(pattern, F.col("name"), decoded(F.col("uri")), paths))
     by_name = F.lit(False)
     for ending in CODEC_ENDINGS:
         by_name = by_name | F.lower(F.col("name")).endswith(ending)
     if sniff:
-        flags = sniffed(listing).withColumn("name", base_name(F.col("uri")))
+        flags = sniffed(listing).withColumn("name", base_name(decoded(F.col("uri"))))
         routed = flags.where(F.col("is_gzip") | by_name)
     else:
         routed = listing.where(by_name).withColumn(
