@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opstrail import tasks
@@ -85,10 +87,9 @@ def list_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     )
 
 
-def sniffed(listing: DataFrame) -> DataFrame:
+def sniffed(files: DataFrame) -> DataFrame:
     """``(uri, is_gzip)`` by the first two bytes of each file, read on executors."""
-    width = listing.sparkSession.sparkContext.defaultParallelism * 4
-    return listing.select("uri", "path").coalesce(width).mapInArrow(
+    return files.select("uri", "path").mapInArrow(
         tasks.sniff_files, "uri string, is_gzip boolean"
     )
 
@@ -115,23 +116,30 @@ def read_lines(
         .option("recursiveFileLookup", str(recursive).lower())
         .text(paths)
     )
-    listing = scan_listing(spark, paths, recursive)
+    # The file index just built, as a table: one listing serves the scan and the sniffing.
+    uris = [re.sub("^file:/+", "file:/", name) for name in plain.inputFiles()]
+    width = max(1, min(len(uris), spark.sparkContext.defaultParallelism * 4))
+    uri = F.col("uri")
+    files = (
+        spark.createDataFrame([(u,) for u in uris], "uri string")
+        .repartition(width)
+        .select("uri", decoded(uri).alias("path"), base_name(decoded(uri)).alias("name"))
+    )
     if pattern:
         name = decoded(F.col("_metadata.file_name"))
         plain = plain.where(name_filter(pattern, name, decoded(meta_path), paths))
-        listing = listing.where(name_filter(pattern, F.col("name"), decoded(F.col("uri")), paths))
+        files = files.where(name_filter(pattern, F.col("name"), F.col("path"), paths))
     by_name = F.lit(False)
     for ending in CODEC_ENDINGS:
-        by_name = by_name | F.lower(F.col("name")).endswith(ending)
+        by_name = by_name | F.lower(base_name(decoded(uri))).endswith(ending)
     if sniff:
-        flags = sniffed(listing).withColumn("name", base_name(decoded(F.col("uri"))))
-        routed = flags.where(F.col("is_gzip") | by_name)
+        routed = sniffed(files).where(F.col("is_gzip") | by_name)
     else:
-        routed = listing.where(by_name).withColumn(
-            "is_gzip", F.lower(F.col("name")).endswith(".gz")
+        routed = files.where(by_name).select(
+            "uri", F.lower(F.col("name")).endswith(".gz").alias("is_gzip")
         )
-    # One row per routed file: the scan's own file index holds the same names.
-    kinds = {row.uri: row.is_gzip for row in routed.select("uri", "is_gzip").collect()}
+    # At most one row per file: the file index already holds as many names.
+    kinds = {row.uri: row.is_gzip for row in routed.collect()}
     if kinds:
         plain = plain.where(~meta_path.isin(list(kinds)))
     plain = plain.select(
@@ -143,8 +151,10 @@ def read_lines(
     )
     if not kinds:
         return plain
-    streamed = listing.where(F.col("uri").isin(list(kinds))).select(
-        "uri", "path", F.col("uri").isin([u for u, gz in kinds.items() if gz]).alias("is_gzip")
+    # Listed again as whole files, so that tasks get files of about equal size together.
+    listing = scan_listing(spark, paths, recursive)
+    streamed = listing.where(uri.isin(list(kinds))).select(
+        "uri", "path", uri.isin([u for u, gz in kinds.items() if gz]).alias("is_gzip")
     )
     pieces = streamed.mapInArrow(
         tasks.read_pieces(separator.encode()),
