@@ -16,6 +16,22 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Bytes one copy task should move.
+TASK_BYTES = 128 << 20
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """A listing dealt out to tasks of about ``TASK_BYTES``, and to every core if there is less.
+
+    Listings are small however much they stand for, so adaptive execution
+    would merge them into one task after a shuffle; a fixed number stays.
+    """
+    total = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, (total.bytes or 0) // TASK_BYTES)
+    return files.repartition(max(1, min(total.n, tasks)))
+
+
 def sync_run(
     spark: SparkSession,
     source: str,
@@ -43,7 +59,8 @@ def sync_run(
         files = list_files(spark, source, pattern, skip_ext)
     if checksum:
         hashed = _written(ops.fingerprint(files), f"{run}/hashed")
-        files = ops.one_per_content(ops.pending_files(hashed, ops.read_state(spark, state)))
+        new = ops.one_per_content(ops.pending_files(hashed, ops.read_state(spark, state)))
+        files = _spread(_written(new, f"{run}/new"))
     copied = _written(ops.copy_files(files, dest), f"{run}/copied")
     if checksum:
         ops.append_state(copied.where("ok"), state)

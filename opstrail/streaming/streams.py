@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from opstrail.operators import changelog
 from opstrail.operators import slowlog as ops
-from opstrail.operators.filesync import content_hash
+from opstrail.operators.filesync import fingerprint
 from opstrail.plans.slowlog import REPORT_COLUMNS, parser_for
 from opstrail.sources.slowlog import RECORD_SEPARATOR
 
@@ -109,11 +109,9 @@ def stream_new_content(
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    hashed = reader.load(directory).select(
-        "path",
-        "length",
-        content_hash(F.col("content")).alias("sha256"),
-        F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"),
+    # The content column is never read: fingerprints stream each file in chunks.
+    hashed = fingerprint(reader.load(directory).select("path", "length")).withColumn(
+        "salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))
     )
     return hashed.dropDuplicates(["sha256", "salt"]).dropDuplicates(["sha256"]).drop("salt")
 

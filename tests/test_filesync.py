@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opstrail.operators import filesync as ops
 from opstrail.operators import matching
+from opstrail.plans import filesync
 from opstrail.plans.filesync import mirror_prefix, sync_run
 from opstrail.sources import list_files, list_prefix
 
@@ -76,6 +77,14 @@ def test_copy_pins_the_listed_length(spark, source, tmp_path):
     assert (tmp_path / "d" / "binlog.000003").read_text() == "other"
 
 
+def test_copies_are_dealt_out(spark, source, monkeypatch):
+    files = list_files(spark, str(source))
+    assert filesync._spread(files).rdd.getNumPartitions() == 5
+    monkeypatch.setattr(filesync, "TASK_BYTES", 1)
+    many = spark.range(100).select(F.lit(3).alias("length"))
+    assert filesync._spread(many).rdd.getNumPartitions() == 100
+
+
 def test_run_log_of_many_files_is_spread(spark, monkeypatch):
     monkeypatch.setattr(ops, "FILES_PER_LOG_ROW", 50)
     copied = spark.range(1000).select(

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from opstrail.operators import matching
 from opstrail.operators import slowlog as ops
 from opstrail.plans.slowlog import slow_envelope, slow_report, write_report
 from opstrail.sources import read_slowlog
@@ -342,3 +343,13 @@ def test_one_scan_for_records_and_status(spark, logs):
     report.records.collect()
     final = report.records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert final.count("FileScan") <= 1
+
+
+def test_many_files_are_not_broadcast(spark, logs, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(matching, "HOT_ROWS", 2)
+    (logs / "bad.log").write_text(SHORT + "\n# Time: bad\n")
+    report = slow_report(spark, str(logs), pattern="*.log")
+    assert [r.query_time for r in report.records.collect()] == [12.5, 9.5, 7.75, 3.25]
+    final = report.records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final.count("FileScan") <= 1
