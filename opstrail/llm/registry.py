@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from opstrail.llm import pii, quality_rules
+from opstrail.llm import pii, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_pii": pii.op3_pii,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_OP1,
