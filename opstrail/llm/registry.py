@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from opstrail.llm import pii, quality_rules, simhash
+from opstrail.llm import pii, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_pii": pii.op3_pii,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_OP1,
     "op3_pii": pii.ORACLE_OP3,
+    "op5_substring_dedup": substring_dedup.ORACLE_OP5,
 }
