@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from opstrail.llm import pii, quality_rules, simhash, substring_dedup
+from opstrail.llm import packing, pii, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_pii": pii.op3_pii,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op7_packing": packing.op7_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE = {
