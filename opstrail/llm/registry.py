@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from opstrail.llm import packing, pii, quality_rules, simhash, substring_dedup
+from opstrail.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_pii": pii.op3_pii,
+    "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_packing": packing.op7_packing,
     "op10_simhash": simhash.op10_simhash,
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_OP1,
     "op3_pii": pii.ORACLE_OP3,
+    "op4_mixing": mixing.ORACLE_OP4,
     "op5_substring_dedup": substring_dedup.ORACLE_OP5,
 }
