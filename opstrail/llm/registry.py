@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opstrail.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup
+from opstrail.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE = {
