@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opstrail.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from opstrail.llm import mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE = {
