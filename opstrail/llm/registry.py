@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from opstrail.llm import mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from opstrail.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
