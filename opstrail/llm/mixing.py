@@ -13,8 +13,8 @@ the cell in which the sum crosses the target is found, and it alone is cut into
 again; only documents of the last cell are sorted. So a source with a third of all rows
 is summed in parallel like any other, and rerunning gives the same documents.
 
-Null texts have size 0; null sources are one source; repeated rows are ranked alike and
-counted one by one; an empty table gives none.
+Null texts have size 0; null sources are one source; rows that repeat are ranked alike, so
+both or none get another copy; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, key, size, source_size, target, copies of every row; key is a digest of id and text."""
+    """doc_id, source, key, size, source_size, target, copies of every row; key is a digest of the text."""
     text_key = F.md5(F.coalesce("text", F.lit("")))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -117,7 +117,7 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = (prefix < F.col("prefix")) | ((prefix == F.col("prefix")) & F.coalesce(upto, F.lit(False)))
     more = F.when(F.coalesce(first, F.lit(False)), 1).otherwise(0)
     return chosen.select(
-        "doc_id", "key", "size", "source_size", "target", (F.col("sure") + more).alias("copies")
+        "doc_id", "source", "key", "size", "source_size", "target", (F.col("sure") + more).alias("copies")
     )
 
 
@@ -172,10 +172,12 @@ def _cutoffs(spark: SparkSession, wanted: DataFrame) -> DataFrame:
 
 def repeat_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it, columns as they are."""
-    id_, key, copies = (free_name(docs, n) for n in ("mix_id", "mix_key", "mix_copies"))
-    shares = mix(spark, docs).groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.max("copies").alias(copies))
-    body = F.md5(F.coalesce("text", F.lit("")))
-    both = docs.join(shares.filter(F.col(copies) > 0), F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (body == F.col(key)))
+    id_, key, origin, copies = (free_name(docs, n) for n in ("mix_id", "mix_key", "mix_source", "mix_copies"))
+    shares = mix(spark, docs).groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("source").alias(origin))
+    shares = shares.agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    # The digest comes first in the join: it spreads rows whatever the ids are.
+    same = (F.md5(F.coalesce("text", F.lit(""))) == F.col(key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
+    both = docs.join(shares, same & F.col("source").eqNullSafe(F.col(origin)))
     many = both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return many.select(*[F.col(f"`{c}`") for c in docs.columns])
 

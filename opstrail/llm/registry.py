@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from opstrail.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_OP1,

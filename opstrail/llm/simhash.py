@@ -263,19 +263,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, max_b
     Rows without words share a fingerprint and so are one group. Of rows that repeat the
     smallest doc_id one stays; so does one of a component of null ids.
     """
-    at, id_, part = (free_name(docs, n) for n in ("row_at", "row_id", "row_component"))
+    at, id_ = (free_name(docs, n) for n in ("row_at", "row_id"))
     found = near_duplicates(spark, docs, shingle, max_bits)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(id_), F.col("component_id").alias(part)
+        F.col("doc_id").alias(id_)
     )
-    keep = keep.groupBy(id_).agg(F.count("*").alias(at))
-    single = keep.filter(f"{at} = 1 AND {id_} IS NOT NULL").select(id_)
-    rest = keep.filter(f"{at} > 1 OR {id_} IS NULL").select(id_)
-    plain = docs.join(single, F.col("doc_id") == F.col(id_), "left_semi")
-    # Repeated ids: one row for each, the same one in every run.
+    keep = stored(spark, keep.groupBy(id_).agg(F.count("*").alias(at)), "simhash-kept")
+    single = keep.filter((F.col(at) == 1) & F.col(id_).isNotNull()).select(id_)
+    rest = keep.filter((F.col(at) > 1) | F.col(id_).isNull()).select(id_)
+    kept = docs.join(single, F.col("doc_id") == F.col(id_), "left_semi")
+    if rest.isEmpty():
+        return kept
+    # Repeated or missing ids: one row for each, the same one in every run.
     again = docs.join(rest, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    kept = again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(at))
-    return plain.unionByName(kept.select(f"{at}.*"))
+    one = again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(at))
+    return kept.unionByName(one.select(f"{at}.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

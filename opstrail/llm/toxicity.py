@@ -137,7 +137,7 @@ def fit(rows: DataFrame, balance: float = BALANCE) -> tuple[dict[str, float], fl
 
 def _scorer(model: dict[str, float], bias: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.keys()
+        known = set(model)
         for part in parts:
             sums = [sum(model[f] for f in features(words_of(t)) & known) for t in part.column(1).to_pylist()]
             score = sigmoid(np.array(sums, float) + bias)
@@ -164,11 +164,11 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 def reject_toxic(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float) -> DataFrame:
     """``docs`` without rows that score ``threshold`` or more; rows and columns are otherwise as they were."""
     weights, bias = model
+    known = set(weights)
     mark = free_name(docs, "toxic_score")
 
     @F.pandas_udf("double")
     def scored(text):
-        known = weights.keys()
         sums = [sum(weights[f] for f in features(words_of(t)) & known) for t in text]
         return text.__class__(sigmoid(np.array(sums, float) + bias))
 
