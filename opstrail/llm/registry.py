@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opstrail.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from opstrail.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
