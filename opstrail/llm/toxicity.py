@@ -4,7 +4,7 @@ Features are the distinct lower-case words of a text and their first letters. La
 sentences that mention a group get a twin in which the group's term is swapped for
 another one of its kind; the fit minimises
 
-    log loss + RIDGE |w|^2 + BALANCE mean (score(x) - score(twin of x))^2
+    log loss + RIDGE |w|^2 / n + BALANCE mean (score(x) - score(twin of x))^2
 
 so a group's name cannot carry the label, and neutral mentions are not held against a text.
 
@@ -32,7 +32,11 @@ THRESHOLD = 0.3
 VOCABULARY = 5_000
 SEEN_IN = 4
 PREFIX = 5
-RIDGE, BALANCE = 1e-4, 1.0
+#: Features must tell the labels apart by so many standard deviations: chance ones would drown
+#: the others where labels are few.
+LEAST_Z = 4.0
+#: RIDGE is for the whole sample and so counts less the more rows there are.
+RIDGE, BALANCE = 2.0, 1.0
 STEPS, RATE = 300, 0.05
 #: Terms for groups, swapped within a row.
 GROUPS = (
@@ -92,7 +96,7 @@ def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> list[str]:
         return []
     rate = total["k"] / total["n"]
     z = F.abs(F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate) + 1e-9))
-    best = {r["f"] for r in counts.orderBy(z.desc(), "f").limit(most).collect()}
+    best = {r["f"] for r in counts.filter(z >= LEAST_Z).orderBy(z.desc(), "f").limit(most).collect()}
     best |= {r["f"] for r in twins.groupBy("f").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "f").limit(most // 10).collect()}
     return sorted(best)
 
@@ -127,7 +131,7 @@ def fit(rows: DataFrame, balance: float = BALANCE) -> tuple[dict[str, float], fl
     adam = Adam(len(w), RATE)
     for _ in range(STEPS):
         miss = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) / len(y)
-        grad = np.append(x.back(miss) + RIDGE * w[:-1], miss.sum())
+        grad = np.append(x.back(miss) + RIDGE / len(y) * w[:-1], miss.sum())
         if pairs:
             gap = a.dot(w[:-1]) - b.dot(w[:-1])
             grad[:-1] += 2 * balance * (a.back(gap) - b.back(gap)) / len(pairs)
