@@ -164,6 +164,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per stratum a map from rule to the lowest certified cutoff number.
 
+    ``stats`` should be a written table, so that no filter works its statistics out again.
     ``labels``: doc_id, quality (1 is good). Counts are summed by (stratum, rule,
     cell) before they are gathered: at most strata x rules x (grid + 1) rows.
     """
