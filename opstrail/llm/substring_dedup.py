@@ -59,8 +59,9 @@ class WindowHashes:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for x in set(w) - known.keys():
-            known[x] = xxhash.xxh3_128_digest(x)
+        for x in set(w):
+            if x not in known:
+                known[x] = xxhash.xxh3_128_digest(x)
         joined = b"".join([known[x] for x in w])
         return w, np.frombuffer(joined, np.uint64).reshape(-1, 2)
 
