@@ -59,9 +59,9 @@ def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark, source, f"{run}/dest", f"{run}/state", f"{run}/log-{i}", skip_ext=".index"
         )
         log = spark.read.schema(
-            "finished_at timestamp, files array<string>, ok boolean, error string"
-        ).json(f"{run}/log-{i}")
-        logged = log.agg(F.sum(F.size("files")).alias("n"), F.bool_and("ok").alias("ok"))
+            "run_id string, finished_at timestamp, n_files long, n_failed long, ok boolean"
+        ).json(f"{run}/log-{i}/runs")
+        logged = log.agg(F.sum("n_files").alias("n"), F.bool_and("ok").alias("ok"))
         runs.append(
             copied.agg(
                 F.count(F.lit(1)).alias("n_files"),
@@ -78,6 +78,43 @@ def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs[0].unionAll(runs[1]).unionAll(runs[2]).withColumn("n_known", known)
 
 
+def sync_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders with equal file names and other content: both are kept, and a second run copies none."""
+    source, run = work_dir(spark, "folders"), work_dir(spark, "recursive")
+    files = list_files(spark, inputs.doc_files(spark, sf_dir), pattern="docs-[0-9]*")
+    bucket = F.regexp_extract("name", "docs-([0-9]*)", 1).cast("long")
+    twice = files.where(~F.col("name").endswith(".copy.txt")).withColumn(
+        "name", F.format_string("half=%d/docs-%d.log", bucket % 2, F.expr("bigint(regexp_extract(name, 'docs-([0-9]*)', 1)) div 2"))
+    )
+    ops.copy_files(twice, source).write.parquet(f"{run}/made")
+    sync_run(spark, source, f"{run}/dest", f"{run}/state", pattern="docs-*", recursive=True)
+    again = sync_run(spark, source, f"{run}/dest", f"{run}/state", pattern="docs-*", recursive=True)
+    found = ops.fingerprint(list_files(spark, f"{run}/dest", recursive=True))
+    half = F.regexp_extract("name", "half=([01])/", 1).cast("long")
+    place = F.regexp_extract("name", "docs-([0-9]*)[.]log$", 1).cast("long")
+    return found.select(
+        (place * 2 + half).alias("bucket"), "length", "sha256",
+        again.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_again"),
+    )
+
+
+def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run log of as many paths as there are documents, some of them failed."""
+    bad = F.col("doc_id") % 100 == 7
+    copied = inputs.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/docs/"), "doc_id").alias("path"),
+        (~bad).alias("ok"),
+        F.when(bad, F.concat(F.lit("lost "), "source")).otherwise("").alias("error"),
+    )
+    dest = work_dir(spark, "log")
+    ops.append_run_log(copied, dest, "r1")
+    files = spark.read.schema("run_id string, path string, ok boolean, error string").json(f"{dest}/files")
+    runs = spark.read.schema("run_id string, n_files long, n_failed long, ok boolean").json(f"{dest}/runs")
+    return files.join(
+        runs.select("run_id", "n_files", "n_failed", F.col("ok").alias("run_ok")), "run_id"
+    )
+
+
 def mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = work_dir(spark, "mirror")
     copied = mirror_prefix(spark, inputs.doc_folders(spark, sf_dir), "bucket=", dest)
@@ -124,6 +161,8 @@ QUERIES = {
     "sync_pending": sync_pending,
     "sync_done": sync_done,
     "sync_run": sync_runs,
+    "sync_recursive": sync_recursive,
+    "run_log_rows": run_log_rows,
     "mirror_prefix": mirror,
     "stream_content_dedup": stream_contents,
     "text_functions": text_functions,
@@ -153,6 +192,13 @@ ORACLE = {
         CASE WHEN run = 2 THEN 0 ELSE n END AS n_named,
         CASE WHEN run = 2 THEN 0 ELSE n END AS n_logged, true AS ok, n AS n_known
       FROM once, (VALUES (1), (2), (3)) r(run)""",
+    "sync_recursive": f"""WITH {BUCKETS}
+      SELECT min(bucket) AS bucket, strlen(body) AS length, sha256(body) AS sha256, 0 AS n_again
+      FROM buckets GROUP BY body""",
+    "run_log_rows": """SELECT 'r1' AS run_id, '/docs/' || doc_id AS path, doc_id % 100 <> 7 AS ok,
+        CASE WHEN doc_id % 100 = 7 THEN 'lost ' || source ELSE '' END AS error,
+        count(*) OVER () AS n_files, count(*) FILTER (doc_id % 100 = 7) OVER () AS n_failed,
+        count(*) FILTER (doc_id % 100 = 7) OVER () = 0 AS run_ok FROM documents""",
     "mirror_prefix": f"""WITH {BUCKETS},
       total AS (SELECT CAST(sum(strlen(body) - strlen(replace(body, chr(10), ''))) AS BIGINT) AS n FROM buckets)
       SELECT bucket, true AS ok, '' AS error, strlen(body) AS bytes, sha256(body) AS sha256, n AS n_lines

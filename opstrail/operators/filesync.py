@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from opstrail import tasks
 from opstrail.operators.matching import with_keys, without_keys
 
-FILES_PER_LOG_ROW = 1000
 STATE_SCHEMA = T.StructType([T.StructField("sha256", T.StringType())])
 
 
@@ -90,36 +89,33 @@ def copy_files(files: DataFrame, dest: str) -> DataFrame:
     )
 
 
-def run_log(copied: DataFrame, finished_at: datetime | None = None) -> DataFrame:
-    """Run-log rows ``(finished_at, files, ok, error)``.
+def _stamp(finished_at: datetime | None) -> Column:
+    at = (finished_at or datetime.now(timezone.utc)).timestamp()
+    return F.timestamp_micros(F.lit(int(at * 1_000_000))).alias("finished_at")
 
-    A run of up to ``FILES_PER_LOG_ROW`` files, none included, is one row; a
-    larger one is spread over as many rows as keep each at about that size.
-    """
-    stamp = F.timestamp_micros(
-        F.lit(int((finished_at or datetime.now(timezone.utc)).timestamp() * 1_000_000))
-    )
-    rows = copied.agg(F.ceil(F.count(F.lit(1)) / FILES_PER_LOG_ROW).alias("n"))
-    part = F.pmod(F.xxhash64("path"), F.greatest(rows.scalar(), F.lit(1)))
-    errors = F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("error"))))
-    idle = rows.where("n = 0").select(
-        stamp.alias("finished_at"),
-        F.array().cast("array<string>").alias("files"),
-        F.lit(True).alias("ok"),
-        F.lit("").alias("error"),
-    )
-    return (
-        copied.groupBy(part.alias("part"))
-        .agg(
-            F.sort_array(F.collect_list("path")).alias("files"),
-            F.bool_and("ok").alias("ok"),
-            F.array_join(errors, "\n").alias("error"),
-        )
-        .select(stamp.alias("finished_at"), "files", "ok", "error")
-        .unionByName(idle)
+
+def run_log_files(copied: DataFrame, run_id: str, finished_at: datetime | None = None) -> DataFrame:
+    """One row per file of a run: ``(run_id, finished_at, path, ok, error)``."""
+    return copied.select(F.lit(run_id).alias("run_id"), _stamp(finished_at), "path", "ok", "error")
+
+
+def run_log(copied: DataFrame, run_id: str, finished_at: datetime | None = None) -> DataFrame:
+    """One row per run, idle or not: ``(run_id, finished_at, n_files, n_failed, ok)``."""
+    return copied.agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(~F.col("ok")).alias("n_failed")
+    ).select(
+        F.lit(run_id).alias("run_id"),
+        _stamp(finished_at),
+        "n_files",
+        "n_failed",
+        (F.col("n_failed") == 0).alias("ok"),
     )
 
 
-def append_run_log(copied: DataFrame, dest: str, finished_at: datetime | None = None) -> None:
-    """Append the run log as JSON lines below ``dest``."""
-    run_log(copied, finished_at).write.mode("append").json(dest)
+def append_run_log(
+    copied: DataFrame, dest: str, run_id: str, finished_at: datetime | None = None
+) -> None:
+    """Append a run as JSON lines: its files below ``dest/files``, then itself below ``dest/runs``."""
+    finished_at = finished_at or datetime.now(timezone.utc)
+    run_log_files(copied, run_id, finished_at).write.mode("append").json(f"{dest}/files")
+    run_log(copied, run_id, finished_at).write.mode("append").json(f"{dest}/runs")

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opstrail.operators import filesync as ops
-from opstrail.session import work_dir
-from opstrail.sources.files import list_files, list_prefix, scan_listing
+from opstrail.session import remove_folder, work_dir
+from opstrail.sources.files import list_files, list_prefix
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -49,14 +49,13 @@ def sync_run(
     The hashed listing and the copy outcomes are written tables, so each file
     is hashed once and copied once whatever reads them afterwards. Of new
     files with equal content the one with the smallest path is copied.
-    ``checksum=False`` copies everything and leaves the state alone. State
-    and log must lie outside ``source``.
+    A recursive run keeps each file's path below ``source``, so files of one
+    base name do not meet. ``checksum=False`` copies everything and leaves the
+    state alone. State and log must lie outside ``source``. The run's working
+    tables are deleted once it has logged, all but the outcomes it returns.
     """
     run = work_dir(spark, "sync")
-    if recursive:
-        files = scan_listing(spark, source, recursive=True).drop("uri")
-    else:
-        files = list_files(spark, source, pattern, skip_ext)
+    files = list_files(spark, source, pattern, skip_ext, recursive)
     if checksum:
         hashed = _written(ops.fingerprint(files), f"{run}/hashed")
         new = ops.one_per_content(ops.pending_files(hashed, ops.read_state(spark, state)))
@@ -65,7 +64,10 @@ def sync_run(
     if checksum:
         ops.append_state(copied.where("ok"), state)
     if log:
-        ops.append_run_log(copied, log, now)
+        ops.append_run_log(copied, log, run.rpartition("-")[2], now)
+    if checksum:
+        for name in ("hashed", "new"):
+            remove_folder(spark, f"{run}/{name}")
     return copied
 
 

@@ -47,3 +47,11 @@ def work_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder name below the shared work root."""
     return f"{work_root(spark)}/opstrail/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared work root; anything else is refused."""
+    if not path.startswith(f"{work_root(spark)}/opstrail/"):
+        raise ValueError(f"not a working folder: {path}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

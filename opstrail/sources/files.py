@@ -50,18 +50,34 @@ def scan_listing(spark: SparkSession, paths, recursive: bool = False) -> DataFra
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as listings show it: absolute, with its scheme, without a closing slash."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop).toString().rstrip("/")
+
+
 def list_files(
-    spark: SparkSession, directory: str, pattern: str = "", skip_ext: str = ""
+    spark: SparkSession,
+    directory: str,
+    pattern: str = "",
+    skip_ext: str = "",
+    recursive: bool = False,
 ) -> DataFrame:
-    """Regular files one level below ``directory``: ``(path, name, length, modificationTime)``.
+    """Regular files below ``directory``: ``(path, name, length, modificationTime)``.
 
+    One level deep, unless ``recursive``; then ``name`` is the path below
+    ``directory``. ``pattern`` and ``skip_ext`` look at the last part of the name.
     Order by ``name`` where name order matters; the listing itself is unordered.
     """
-    files = scan_listing(spark, directory)
+    files = scan_listing(spark, directory, recursive)
     if pattern:
         files = files.where(F.col("name").rlike(glob_to_regex(pattern)))
     if skip_ext.strip():
         files = files.where(~F.col("name").endswith(skip_ext))
+    if recursive:
+        below = len(qualified(spark, directory)) + 2
+        files = files.withColumn("name", F.substr("path", F.lit(below)))
     return files.drop("uri")
 
 
@@ -71,13 +87,11 @@ def list_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     ``key`` is the name below ``root`` and ``name`` the key without the
     prefix. Only the deepest folder the prefix names is listed.
     """
-    root = root.rstrip("/")
+    root = qualified(spark, root)
     folder = prefix.rpartition("/")[0]
     start = f"{root}/{folder}" if folder else root
-    below = F.length(F.lit("/" + root.split(":", 1)[-1].strip("/") + "/"))
-    bare = F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:/*", "/")
     files = scan_listing(spark, start, recursive=True)
-    keyed = files.withColumn("key", F.substr(bare, below + 1))
+    keyed = files.withColumn("key", F.substr("path", F.lit(len(root) + 2)))
     return keyed.where(F.col("key").startswith(prefix)).select(
         "path",
         "key",
@@ -113,6 +127,7 @@ def read_lines(
     meta_path = F.col("_metadata.file_path")
     plain = (
         spark.read.option("lineSep", separator)
+        .option("ignoreMissingFiles", "true")  # those are reported by the other branch
         .option("recursiveFileLookup", str(recursive).lower())
         .text(paths)
     )
@@ -133,7 +148,7 @@ def read_lines(
     for ending in CODEC_ENDINGS:
         by_name = by_name | F.lower(base_name(decoded(uri))).endswith(ending)
     if sniff:
-        routed = sniffed(files).where(F.col("is_gzip") | by_name)
+        routed = sniffed(files).where(F.col("is_gzip").isNull() | F.col("is_gzip") | by_name)
     else:
         routed = files.where(by_name).select(
             "uri", F.lower(F.col("name")).endswith(".gz").alias("is_gzip")
@@ -151,10 +166,10 @@ def read_lines(
     )
     if not kinds:
         return plain
-    # Listed again as whole files, so that tasks get files of about equal size together.
-    listing = scan_listing(spark, paths, recursive)
-    streamed = listing.where(uri.isin(list(kinds))).select(
-        "uri", "path", uri.isin([u for u, gz in kinds.items() if gz]).alias("is_gzip")
+    streamed = (
+        spark.createDataFrame(list(kinds.items()), "uri string, is_gzip boolean")
+        .repartition(max(1, min(len(kinds), width)))
+        .select("uri", decoded(uri).alias("path"), "is_gzip")
     )
     pieces = streamed.mapInArrow(
         tasks.read_pieces(separator.encode()),

@@ -1,16 +1,20 @@
 """Continuous forms of the slow-log report, content intake and change apply.
 
-Keyed tables are kept as parts, one folder per micro-batch, and merged when
-read. A batch that runs again overwrites its own part. The merge takes a
-maximum per key, so it does not depend on the order in which batches arrive,
+Keyed tables are kept as parts, one folder per stream and micro-batch, and merged
+when read. A batch that runs again overwrites its own part, and only that: a
+stream that starts anew with another checkpoint has another id. The merge takes
+a maximum per key, so it does not depend on the order in which batches arrive,
 and reading a row twice changes nothing.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from opstrail import tasks
 from opstrail.operators import changelog
 from opstrail.operators import slowlog as ops
 from opstrail.operators.filesync import fingerprint
@@ -21,17 +25,36 @@ CONTENT_SCHEMA = "path string, modificationTime timestamp, length long, content
 SALTS = 64
 
 
-def _start(df: DataFrame, checkpoint: str, trigger: dict | None, write_batch) -> StreamingQuery:
-    return (
+def _start(
+    df: DataFrame, target: str, checkpoint: str, trigger: dict | None, parts_of
+) -> StreamingQuery:
+    """Write ``parts_of(batch)`` of every micro-batch as a part of ``target``.
+
+    A part is named by the stream's id, which its checkpoint keeps, and the batch.
+    """
+    started, ids = threading.Event(), []
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        _write_part(parts_of(batch), target, ids[0], batch_id)
+
+    query = (
         df.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+    ids.append(query.id)
+    started.set()
+    return query
+
 
+def _write_part(df: DataFrame, target: str, stream_id: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{target}/stream_id={stream_id}/batch_id={batch_id}")
 
-def _write_part(df: DataFrame, target: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+def _read_parts(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).drop("stream_id", "batch_id")
 
 
 def stream_slowlog(
@@ -46,29 +69,39 @@ def stream_slowlog(
 ) -> StreamingQuery:
     """Keep the slowest record per file and query of closed log files as they appear.
 
-    A file belongs in ``directory`` once it is no longer written to. Gzip
-    files are told by their name here.
+    A file belongs in ``directory`` once it is no longer written to. The stream
+    is one of names; each file is opened in a task, which tells gzip by content
+    and reports a file that it cannot read as that file's error.
     """
     parse = parser_for(engine)
+    names = _names(spark, directory, max_files).select(
+        F.col("_metadata.file_path").alias("uri"), "path"
+    )
+    pieces = names.mapInArrow(
+        tasks.read_pieces(RECORD_SEPARATOR.encode()),
+        "file string, row_id long, bytes binary, scan_error string",
+    ).select(
+        "file",
+        F.lit(0).cast("long").alias("block_start"),
+        "row_id",
+        F.col("bytes").cast("string").alias("value"),
+        "scan_error",
+    )
+    return _start(
+        pieces, target, checkpoint, trigger, lambda b: ops.slowest_groups(parse(b, mask=mask))
+    )
+
+
+def _names(spark: SparkSession, directory: str, max_files: int | None) -> DataFrame:
+    """Stream of the files below a folder; their content column is never read."""
     reader = (
-        spark.readStream.format("text")
-        .option("lineSep", RECORD_SEPARATOR)
+        spark.readStream.format("binaryFile")
+        .schema(CONTENT_SCHEMA)
         .option("recursiveFileLookup", "true")
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.load(directory).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        "value",
-        F.lit(None).cast("string").alias("scan_error"),
-    )
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("row_id", F.monotonically_increasing_id())
-        _write_part(ops.slowest_groups(parse(ordered, mask=mask)), target, batch_id)
-
-    return _start(raw, checkpoint, trigger, write_batch)
+    return reader.load(directory)
 
 
 def _merged_groups(parts: DataFrame) -> DataFrame:
@@ -86,7 +119,7 @@ def _merged_groups(parts: DataFrame) -> DataFrame:
 
 def read_slow_table(spark: SparkSession, target: str, on_error: str = "file") -> DataFrame:
     """The slowest record per file and query over all batches so far."""
-    groups = _merged_groups(spark.read.parquet(target))
+    groups = _merged_groups(_read_parts(spark, target))
     records = ops.apply_error_policy(
         ops.slowest_per_query(groups), ops.file_status(groups), on_error
     )
@@ -102,15 +135,9 @@ def stream_new_content(
     are absorbed by many tasks, then over all. The state holds every hash
     seen, as long as the stream lives.
     """
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(CONTENT_SCHEMA)
-        .option("recursiveFileLookup", "true")
-    )
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    # The content column is never read: fingerprints stream each file in chunks.
-    hashed = fingerprint(reader.load(directory).select("path", "length")).withColumn(
+    # Fingerprints stream each file in chunks.
+    names = _names(spark, directory, max_files).select("path", "length")
+    hashed = fingerprint(names).withColumn(
         "salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))
     )
     return hashed.dropDuplicates(["sha256", "salt"]).dropDuplicates(["sha256"]).drop("salt")
@@ -129,17 +156,16 @@ def stream_apply(
     log counts, whichever batch it came in.
     """
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        _write_part(changelog.latest_changes(batch, keys), target, batch_id)
-
-    return _start(events, checkpoint, trigger, write_batch)
+    return _start(
+        events, target, checkpoint, trigger, lambda b: changelog.latest_changes(b, keys)
+    )
 
 
 def read_applied(
     spark: SparkSession, target: str, keys: list[str], base: DataFrame | None = None
 ) -> DataFrame:
     """The last change per key so far, or ``base`` with those changes applied."""
-    changes = spark.read.parquet(target).drop("batch_id")
+    changes = _read_parts(spark, target)
     if base is None:
         return changelog.latest_changes(changes, keys)
     return changelog.restore_table(base, changes, keys)
@@ -151,6 +177,6 @@ def compact_parts(spark: SparkSession, target: str, dest: str, keys: list[str] |
     ``keys`` are those of a change table; without them it is a slow-log table.
     Streams may go on writing to ``target``.
     """
-    parts = spark.read.parquet(target).drop("batch_id")
+    parts = _read_parts(spark, target)
     merged = changelog.latest_changes(parts, keys) if keys else _merged_groups(parts)
-    _write_part(merged, dest, 0)
+    _write_part(merged, dest, "merged", 0)

@@ -87,13 +87,19 @@ def pinned_chunks(path, length):
             yield block
 
 
+def is_gzip_file(path):
+    """Whether the content starts with the gzip magic; None if it cannot be read."""
+    try:
+        with open_input(path) as source:
+            return source.read(2) == GZIP_MAGIC
+    except OSError:
+        return None
+
+
 def sniff_files(batches):
-    """path → whether the content starts with the gzip magic."""
+    """path → whether the content starts with the gzip magic, null if unreadable."""
     for batch in batches:
-        flags = []
-        for path in batch.column("path").to_pylist():
-            with open_input(path) as source:
-                flags.append(source.read(2) == GZIP_MAGIC)
+        flags = [is_gzip_file(path) for path in batch.column("path").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("uri"), pa.array(flags, pa.bool_())], names=["uri", "is_gzip"]
         )
@@ -123,7 +129,8 @@ def split_stream(source, separator):
 def read_pieces(separator):
     """Task that streams whole files, gzip or plain, and cuts them at ``separator``.
 
-    A file that cannot be decompressed ends in one row with ``scan_error``.
+    A file that cannot be read or decompressed ends in one row with
+    ``scan_error``. Without ``is_gzip`` the content of each file tells.
     """
 
     def run(batches):
@@ -144,11 +151,10 @@ def read_pieces(separator):
         uris, ids, values, errors = [], [], [], []
         size = 0
         for batch in batches:
-            for uri, path, is_gzip in zip(
-                batch.column("uri").to_pylist(),
-                batch.column("path").to_pylist(),
-                batch.column("is_gzip").to_pylist(),
-            ):
+            paths = batch.column("path").to_pylist()
+            told = "is_gzip" in batch.schema.names
+            kinds = batch.column("is_gzip").to_pylist() if told else map(is_gzip_file, paths)
+            for uri, path, is_gzip in zip(batch.column("uri").to_pylist(), paths, kinds):
                 row = 0
                 try:
                     with open_input(path) as source:
@@ -163,11 +169,12 @@ def read_pieces(separator):
                             if size >= MAX_BATCH_BYTES or len(ids) >= MAX_BATCH_ROWS:
                                 yield flush()
                                 size = 0
-                except (EOFError, gzip.BadGzipFile, gzip.zlib.error) as problem:
+                except (EOFError, gzip.BadGzipFile, gzip.zlib.error, OSError) as problem:
+                    unreadable = isinstance(problem, OSError) and not isinstance(problem, gzip.BadGzipFile)
                     uris.append(uri)
                     ids.append(row)
                     values.append(b"")
-                    errors.append(f"fail to read gzip file: {problem}")
+                    errors.append(f"fail to read {'file' if unreadable else 'gzip file'}: {problem}")
         if ids:
             yield flush()
 

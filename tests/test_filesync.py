@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,9 +60,10 @@ def test_sync_runs(spark, source, tmp_path):
     assert len(names(run(checksum=False))) == 4
     ops.reset_state(spark, state)
     assert len(names(run())) == 3
-    rows = [json.loads(line) for f in (tmp_path / "log").glob("part*") for line in f.read_text().splitlines()]
-    assert sorted(len(r["files"]) for r in rows) == [0, 2, 2, 3, 4]
-    assert all(r["ok"] and r["error"] == "" and r["finished_at"] for r in rows)
+    rows = [json.loads(line) for f in (tmp_path / "log" / "runs").glob("part*") for line in f.read_text().splitlines()]
+    assert sorted(r["n_files"] for r in rows) == [0, 2, 2, 3, 4]
+    assert all(r["ok"] and r["n_failed"] == 0 and r["finished_at"] for r in rows)
+    assert len({r["run_id"] for r in rows}) == 5
     assert not list((tmp_path / "dest").glob(".tmp*"))
 
 
@@ -85,16 +87,38 @@ def test_copies_are_dealt_out(spark, source, monkeypatch):
     assert filesync._spread(many).rdd.getNumPartitions() == 100
 
 
-def test_run_log_of_many_files_is_spread(spark, monkeypatch):
-    monkeypatch.setattr(ops, "FILES_PER_LOG_ROW", 50)
-    copied = spark.range(1000).select(
-        F.concat(F.lit("/f"), "id").alias("path"), (F.col("id") != 7).alias("ok"),
-        F.when(F.col("id") == 7, "broken").otherwise("").alias("error"),
-    )
-    rows = ops.run_log(copied).collect()
-    assert 10 < len(rows) <= 20
-    assert sorted(p for r in rows for p in r.files) == sorted(f"/f{i}" for i in range(1000))
-    assert [r.error for r in rows if not r.ok] == ["broken"]
+def test_run_log_has_one_layout(spark):
+    for n in (0, 3, 2500):
+        copied = spark.range(n).select(
+            F.concat(F.lit("/f"), "id").alias("path"), (F.col("id") != 2).alias("ok"),
+            F.when(F.col("id") == 2, "broken\nfor a reason").otherwise("").alias("error"),
+        )
+        run = ops.run_log(copied, "r").collect()
+        assert [(r.run_id, r.n_files, r.n_failed, r.ok) for r in run] == [("r", n, int(n > 2), n <= 2)]
+        rows = ops.run_log_files(copied, "r").collect()
+        assert len(rows) == n and [r.error for r in rows if not r.ok] == ["broken\nfor a reason"] * (n > 2)
+
+
+def test_recursive_sync_keeps_folders_apart(spark, tmp_path):
+    source = tmp_path / "src"
+    for folder, text in (("a", "one"), ("b", "two"), ("a/deep", "three")):
+        (source / folder).mkdir(parents=True, exist_ok=True)
+        (source / folder / "log.1").write_text(text)
+    (source / "b" / "log.idx").write_text("skipped")
+    (source / "b" / "other").write_text("no match")
+    dest, state = str(tmp_path / "dest"), str(tmp_path / "state")
+    relative = os.path.relpath(source)
+    for root in (relative, str(source)):
+        copied = sync_run(spark, root, dest, state, pattern="log*", skip_ext=".idx", recursive=True)
+        assert names(copied) == (["a/deep/log.1", "a/log.1", "b/log.1"] if root == relative else [])
+    got = {str(p.relative_to(dest)): p.read_text() for p in (tmp_path / "dest").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert got == {"a/log.1": "one", "b/log.1": "two", "a/deep/log.1": "three"}
+
+
+def test_relative_root_of_a_prefix(spark, tmp_path):
+    (tmp_path / "root" / "p").mkdir(parents=True)
+    (tmp_path / "root" / "p" / "x.txt").write_text("x")
+    assert names(list_prefix(spark, os.path.relpath(tmp_path / "root"), "p/")) == names(list_prefix(spark, str(tmp_path / "root"), "p/")) == ["x.txt"]
 
 
 def test_prefix(spark, tmp_path):

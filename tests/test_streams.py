@@ -1,3 +1,4 @@
+import gzip
 import shutil
 
 from pyspark.sql import functions as F
@@ -29,8 +30,32 @@ def test_slow_table_grows_with_the_folder(spark, tmp_path):
     )
     compact_parts(spark, table, str(tmp_path / "merged"))
     # Parts and their merge together still count once.
-    shutil.copytree(tmp_path / "merged" / "batch_id=0", tmp_path / "table" / "batch_id=99")
-    assert read_slow_table(spark, table).count() == got.count() == 5
+    shutil.copytree(tmp_path / "merged" / "stream_id=merged", tmp_path / "table" / "stream_id=merged")
+    assert read_slow_table(spark, table).count() == got.count() == want.count()
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "a.log").write_text(SHORT)
+    stream_slowlog(spark, str(folder), table, str(tmp_path / "mark")).awaitTermination()
+    before = read_slow_table(spark, table).count()
+    (folder / "a.log").unlink()
+    (folder / "z.log").write_text(AGAIN)
+    stream_slowlog(spark, str(folder), table, str(tmp_path / "other")).awaitTermination()
+    assert {r.file[-5:] for r in read_slow_table(spark, table).collect()} == {"a.log", "z.log"}
+    assert read_slow_table(spark, table).count() > before
+
+
+def test_streams_tell_gzip_by_content(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "zipped.log").write_bytes(gzip.compress(SHORT.encode()))
+    (folder / "plain.gz").write_text(SHORT)
+    (folder / "cut.log").write_bytes(gzip.compress(SHORT.encode() * 50)[:-20])
+    stream_slowlog(spark, str(folder), table, str(tmp_path / "mark")).awaitTermination()
+    want = slow_report(spark, str(folder)).records
+    assert read_slow_table(spark, table).count() == want.count() > 0
 
 
 def test_content_is_taken_once(spark, tmp_path):
