@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import inputs
+from opstrail.functions.literals import sql_float
 from opstrail.operators import literals
 from opstrail.operators.jobs import batch_outcome, result_text
 from opstrail.plans import export
@@ -137,13 +138,61 @@ def export_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = n.select(F.lit(name).alias("job_name"), "n_rows")
         counts = n if counts is None else counts.unionAll(n)
     return results.join(counts, "job_name", "left").select(
-        "job_name", "ok", F.substring("error", 1, 25).alias("error"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+        "job_name",
+        "ok",
+        F.regexp_replace("error", r"exist: \S*/", "exist: ").alias("error"),
+        F.when(F.col("job_name") == "script", _rows_in(spark, f"{path}/out/script").scalar())
+        .otherwise(F.coalesce("n_rows", F.lit(0)))
+        .alias("n_rows"),
     )
 
 
-def export_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = spark.read.parquet(f"{_batch(spark, sf_dir)}/results")
-    return batch_outcome(results).select("ok", F.substring("error", 1, 25).alias("error"))
+def _rows_in(spark: SparkSession, path: str) -> DataFrame:
+    """Rows inside written INSERT statements; a row of orders ends in a quoted text."""
+    joints = F.size(F.split("value", r"'\),\("))
+    return spark.read.text(path).agg(F.sum(joints).alias("n"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a hundred events, each event a job that failed if it is an error."""
+    results = inputs.table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 100).alias("batch"),
+        F.format_string("job%012d", "event_id").alias("job_name"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.concat(F.lit("no "), "props", F.lit("\nat "), F.col("event_id").cast("string")).alias("error"),
+    )
+    return batch_outcome(results, ("batch",))
+
+
+def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs from parts: some lack a name, a source, a driver or a destination."""
+    k = F.col("p_partkey")
+    jobs = inputs.table(spark, sf_dir, "part").select(
+        k.alias("job"),
+        F.when(k % 11 == 0, "  ").otherwise(F.col("p_name")).alias("name"),
+        F.when(k % 7 != 0, F.col("p_brand")).alias("dsn"),
+        F.when(k % 5 == 0, "").otherwise(F.col("p_type")).alias("driver"),
+        (F.col("p_size") % 4).cast("int").alias("n_destinations"),
+    )
+    return export.job_faults(jobs).select("job", "fault")
+
+
+def large_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements by ranges of keys that a double cannot tell apart, below zero too."""
+    big = F.lit((1 << 53) - 20) + F.col("o_orderkey")
+    rows = inputs.table(spark, sf_dir, "orders").select(big.alias("big"), "o_orderpriority")
+    rows = rows.union(rows.select(-F.col("big"), "o_orderpriority"))
+    made = literals.insert_statements(rows, "big", batch_by=("big", 3))
+    return made.select("batch", "n_rows", F.md5(F.col("statement").cast("binary")).alias("digest"))
+
+
+def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and small shares of them as float literals."""
+    value = F.col("l_extendedprice") / F.pow(F.lit(10.0), F.col("l_linenumber") + F.lit(4))
+    half = (F.col("l_orderkey") * 2 + 1) / F.lit(2000000.0)
+    return inputs.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", sql_float(value).alias("small"), sql_float(-half).alias("tie")
+    )
 
 
 def results_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +214,10 @@ QUERIES = {
     "export_sql_script": export_sql_script,
     "export_fanout": export_fanout,
     "export_batch": export_batch,
-    "export_outcome": export_outcome,
+    "batch_outcome": outcomes,
+    "job_faults": faults,
+    "insert_large_keys": large_keys,
+    "float_text": float_text,
     "result_text": results_as_text,
 }
 
@@ -286,7 +338,9 @@ FANOUT = " UNION ALL ".join(
       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 2"""
     for fmt in ("json", "parquet", "orc")
 )
-STORE_ERROR = "failed to store dump file "[:25]
+STORE_ERROR = (
+    "failed to store dump file [PATH_NOT_FOUND] Path does not exist: no_such_table.parquet. SQLSTATE: 42K03"
+)
 TEXT_RESULTS = """r AS (SELECT event_id, 'job' || event_id AS j, event_type <> 'error' AS ok, props AS e,
     CAST(round(value * 100) AS BIGINT) * (1 + event_id % 400) AS ms FROM events),
   s AS (SELECT *, (ms // 1000 % 60) || rtrim(rtrim('.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0'), '0'), '.')
@@ -308,9 +362,24 @@ ORACLE = {
         f"SELECT '{t}' AS job_name, true AS ok, '' AS error, count(*) AS n_rows FROM {t}"
         for t in (*NAMED_TABLES, "lineitem", "customer")
     )
-    + f""" UNION ALL SELECT 'script', true, '', 0
+    + f""" UNION ALL SELECT 'script', true, '', count(*) FROM orders
       UNION ALL SELECT 'broken', false, '{STORE_ERROR}', 0""",
-    "export_outcome": f"SELECT false AS ok, '{STORE_ERROR}' AS error",
+    "batch_outcome": """SELECT event_id // 100 AS batch, bool_and(event_type <> 'error') AS ok,
+      coalesce(string_agg('no ' || props || chr(10) || 'at ' || event_id, chr(10) ORDER BY event_id)
+        FILTER (event_type = 'error'), '') AS error FROM events GROUP BY 1""",
+    "job_faults": """SELECT p_partkey AS job, CASE WHEN p_partkey % 11 = 0 THEN 'job name is required'
+      WHEN p_partkey % 7 = 0 THEN 'database dsn is required'
+      WHEN p_partkey % 5 = 0 THEN 'database driver is required'
+      WHEN p_size % 4 = 0 THEN 'job ' || p_name || ' has no destination' END AS fault FROM part""",
+    "insert_large_keys": """WITH k AS (SELECT 9007199254740972 + o_orderkey AS big, o_orderpriority AS p FROM orders),
+      b AS (SELECT * FROM k UNION ALL SELECT -big, p FROM k),
+      n AS (SELECT *, (big - ((big % 3) + 3) % 3) // 3 AS batch FROM b)
+      SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_rows,
+        md5('INSERT INTO `big` (`big`, `o_orderpriority`) VALUES ' || string_agg('(' || big || ',' || chr(39) || p
+          || chr(39) || ')', ',' ORDER BY big) || ';') AS digest FROM n GROUP BY batch""",
+    "float_text": """SELECT l_orderkey, l_linenumber,
+      printf('%.6f', l_extendedprice / pow(10.0, l_linenumber + 4)) AS small,
+      printf('%.6f', -((l_orderkey * 2 + 1) / 2000000.0::DOUBLE)) AS tie FROM lineitem""",
     "result_text": f"""WITH {TEXT_RESULTS} SELECT event_id,
         CASE WHEN ok THEN j || ' succeeded, it took ' || d
           ELSE j || ' failed, it took ' || d || ' with error: ' || e END AS text,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import inputs
 from opstrail.functions import mask_literals
 from opstrail.operators import slowlog as ops
-from opstrail.plans.slowlog import slow_report, slowlog_json
+from opstrail.plans.slowlog import slow_report, slowlog_json, write_envelope
 from opstrail.sources import read_slowlog
 from opstrail.streaming import read_slow_table, stream_slowlog
 from opstrail.operators.filesync import copy_files
@@ -67,7 +67,24 @@ def slowlog_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slowlog_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = inputs.slow_logs(spark, sf_dir)
     report = slow_report(spark, logs, mask=True, recursive=True, limit=TOP)
-    return slowlog_json(report, TOP)
+    row = report.records.drop("file").schema.simpleString()
+    schema = f"struct<ok:boolean,error:string,results:array<{row}>>"
+    parsed = slowlog_json(report, TOP).select(F.from_json("envelope", schema).alias("e"))
+    rows = parsed.select("e.ok", "e.error", F.explode("e.results").alias("r"))
+    return rows.select("ok", "error", "r.*")
+
+
+def slowlog_envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope without limit, read back line by line."""
+    report = slow_report(spark, inputs.slow_logs(spark, sf_dir), mask=True, recursive=True)
+    dest = work_dir(spark, "envelope")
+    write_envelope(report, dest)
+    lines = spark.read.text([f"{dest}/2-first", f"{dest}/3-rest"])
+    row = report.records.drop("file").schema.simpleString()
+    parsed = lines.select(F.from_json(F.ltrim("value", F.lit(",")), row).alias("r"))
+    frame = spark.read.text([f"{dest}/1-head", f"{dest}/4-tail"])
+    whole = frame.agg(F.array_join(F.sort_array(F.collect_list("value"), False), "").alias("v")).scalar()
+    return parsed.select("r.*", whole.alias("frame"))
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +120,7 @@ QUERIES = {
     "slowlog_error_policy": slowlog_error_policy,
     "slowlog_quarantine": slowlog_quarantine,
     "slowlog_envelope": slowlog_envelope,
+    "slowlog_envelope_lines": slowlog_envelope_lines,
     "mask_literals": mask_documents,
     "stream_slowlog": stream_slow_table,
 }
@@ -172,6 +190,13 @@ ORACLE = {
       SELECT event_type, chunk, {FIELDS}
       FROM ({_slowest('masked', 'event_type, chunk, query', FILE_ORDER)})
       ORDER BY {GLOBAL_ORDER} LIMIT {TOP}""",
+    "slowlog_envelope": f"""WITH {KEPT}, {MASKED}
+      SELECT true AS ok, '' AS error, {FIELDS}
+      FROM ({_slowest('masked', 'event_type, chunk, query', FILE_ORDER)})
+      ORDER BY {GLOBAL_ORDER} LIMIT {TOP}""",
+    "slowlog_envelope_lines": f"""WITH {KEPT}, {MASKED}
+      SELECT {FIELDS}, '{{"ok":true,"error":"","results":[]}}' AS frame
+      FROM ({_slowest('masked', 'event_type, chunk, query', FILE_ORDER)})""",
     "slowlog_file_status": f"""WITH {FAULTS}
       SELECT event_type, chunk, count(error) = 0 AS ok,
         coalesce(arg_min(error, event_id) FILTER (error IS NOT NULL), '') AS error,

@@ -31,10 +31,29 @@ def sql_json(c: Column, parity: bool = False) -> Column:
 
 
 def sql_float(c: Column, lossless: bool = False) -> Column:
-    """Six fixed decimals, or the shortest exact text with ``lossless``."""
+    """Six fixed decimals, or the shortest exact text with ``lossless``.
+
+    Decimals are rounded from the exact binary value, ties to even, below nine
+    thousand million; above, from its shortest text. NaN and infinities have no
+    literal: the query fails.
+    """
+    x = c.cast("double")
+    strange = F.isnan(x) | (F.abs(x) == float("inf"))
+    refused = F.raise_error(F.concat(F.lit("no SQL literal for "), c.cast("string"))).cast("string")
     if lossless:
-        return c.cast("string")
-    return F.when(c.isNotNull(), F.format_string("%f", c))
+        return F.when(strange, refused).otherwise(c.cast("string"))
+    a = F.abs(x)
+    # a * 1e6 is p + e without error: a is split so that both halves times 1e6 are exact.
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    p = a * 1e6
+    e = (high * 1e6 - p) + (a - high) * 1e6
+    k = F.floor(p)
+    over = (p - k - 0.5) + e
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    units = F.call_function("div", n, F.lit(1_000_000).cast("bigint")).cast("string")
+    exact = F.concat(sign, units, F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))
+    return F.when(strange, refused).when(a < 9e9, exact).when(c.isNotNull(), F.format_string("%f", x))
 
 
 def sql_bit(c: Column) -> Column:

@@ -10,7 +10,7 @@ from opstrail.operators.ranking import with_ordinal
 
 # Where a dump names the log coordinates it was taken at.
 COORDINATES = (
-    r"(?i)(MASTER|SOURCE)_LOG_FILE\s*=\s*'([^']+)'\s*,\s*(MASTER|SOURCE)_LOG_POS\s*=\s*(\d+)"
+    r"(?i)(?:MASTER|SOURCE)_LOG_FILE\s*=\s*'([^']+)'\s*,\s*(?:MASTER|SOURCE)_LOG_POS\s*=\s*(\d+)"
 )
 NO_COORDINATES = "could not extract log file and position"
 NO_STOP = "stop position not found"
@@ -26,17 +26,22 @@ def event_place() -> Column:
 def dump_coordinates(lines: DataFrame) -> DataFrame:
     """First log coordinates of each dump file: ``(file, log_file, log_pos)``.
 
-    Only matching lines leave the scan. A position beyond 64 bits is NULL.
+    Only matching lines leave the scan. A first position beyond 64 bits fails the query.
     """
     found = lines.select(
         "file",
         "block_start",
         "row_id",
-        F.regexp_extract("value", COORDINATES, 2).alias("log_file"),
-        F.regexp_extract("value", COORDINATES, 4).try_cast("bigint").alias("log_pos"),
+        F.regexp_extract("value", COORDINATES, 1).alias("log_file"),
+        F.regexp_extract("value", COORDINATES, 2).alias("digits"),
     ).where(F.col("log_file") != "")
-    first = F.min_by(F.struct("log_file", "log_pos"), F.struct("block_start", "row_id"))
-    return found.groupBy("file").agg(first.alias("at")).select("file", "at.*")
+    first = F.min_by(F.struct("log_file", "digits"), F.struct("block_start", "row_id"))
+    too_large = F.raise_error(F.concat(F.lit("log position out of range: "), "at.digits"))
+    return found.groupBy("file").agg(first.alias("at")).select(
+        "file",
+        "at.log_file",
+        F.coalesce(F.col("at.digits").try_cast("bigint"), too_large.cast("bigint")).alias("log_pos"),
+    )
 
 
 def one_coordinate(lines: DataFrame) -> DataFrame:
@@ -208,8 +213,10 @@ def restore_table(
 
     ``changes`` has the columns of ``base`` and ``op``, ``log_seq`` and
     ``log_pos``. The snapshot is only filtered by the changed keys, so a small
-    log costs it no shuffle.
+    log costs it no shuffle. NULL is a key value like any other.
     """
     latest = latest_changes(changes, keys)
-    untouched = base.join(latest.select(*keys), keys, "left_anti")
+    changed = latest.select(*[F.col(k).alias(f"changed_{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"changed_{i}")) for i, k in enumerate(keys)]
+    untouched = base.join(changed, same, "left_anti")
     return untouched.unionByName(latest.where(F.col("op") != delete_op).select(base.columns))

@@ -19,13 +19,14 @@ def result_text(results: DataFrame, markup: bool = False) -> DataFrame:
     return results.withColumn("text", F.when(F.col("ok"), good).otherwise(bad))
 
 
-def batch_outcome(results: DataFrame) -> DataFrame:
-    """One row ``(ok, error)`` over a batch: errors of the failed jobs by job name.
+def batch_outcome(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``(ok, error)`` per batch: errors of the failed jobs by job name.
 
-    A batch is the list of jobs one driver call was given.
+    A batch is the list of jobs one driver call was given; ``by`` are the columns
+    that tell batches apart where ``results`` holds several.
     """
     failed = F.when(~F.col("ok"), F.struct("job_name", "error"))
-    return results.agg(
+    return results.groupBy(*by).agg(
         F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"),
         F.array_join(
             F.transform(F.sort_array(F.collect_list(failed)), lambda e: e["error"]), "\n"

@@ -83,7 +83,7 @@ def sql_literal(
     literal raises here, before any job starts.
     """
     c, kind = F.col(quote_name(field.name)), field.dataType
-    name = (source_type or "").upper()
+    name = (source_type or "").split("(")[0].strip().upper()
     if name == "JSON":
         text = lit.sql_json(c.cast("string"), parity)
     elif name == "BIT":
@@ -116,6 +116,12 @@ def insert_head(df: DataFrame, table: str) -> str:
     return f"INSERT INTO {quote_name(table)} ({names}) VALUES "
 
 
+def _range_number(key: Column, width: int) -> Column:
+    """key / width rounded down, in whole numbers: a double would merge large keys."""
+    key, step = key.cast("bigint"), F.lit(width).cast("bigint")
+    return F.call_function("div", key, step) - F.when(key % step < 0, 1).otherwise(0)
+
+
 def insert_statements(
     df: DataFrame,
     table: str,
@@ -137,7 +143,7 @@ def insert_statements(
     else:
         column, width = batch_by
         rows = rows.select(
-            F.floor(F.col(column) / width).cast("long").alias("batch"),
+            _range_number(F.col(column), width).alias("batch"),
             F.col(column).alias("row_key"),
             "row_sql",
         )
@@ -160,12 +166,20 @@ def insert_frame(table: str, locks: bool = True) -> tuple[list[str], list[str]]:
     return before, after
 
 
-def table_ddl(schema: T.StructType, table: str, drop: bool = True) -> list[str]:
-    """Statements that define a table, each on one line."""
+def table_ddl(
+    schema: T.StructType, table: str, drop: bool = True, source_types: dict[str, str] | None = None
+) -> list[str]:
+    """Statements that define a table, each on one line.
+
+    ``source_types`` are written as they are given, with their length or
+    values where these are part of the type: ``BINARY(16)``, ``ENUM('a','b')``.
+    """
     columns = []
     for field in schema.fields:
         name = field.dataType.simpleString()
-        if isinstance(field.dataType, T.DecimalType):
+        if field.name in (source_types or {}):
+            kind = source_types[field.name]
+        elif isinstance(field.dataType, T.DecimalType):
             kind = name.upper()
         elif isinstance(field.dataType, (T.CharType, T.VarcharType)):
             kind = name.upper()

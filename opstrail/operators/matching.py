@@ -26,13 +26,14 @@ def _matched(df: DataFrame, keys: DataFrame, key: str, how: str, max_keys: int |
     keys = keys.select(key).distinct()
     if max_keys is not None and max_keys <= BROADCAST_KEYS:
         return df.join(F.broadcast(keys), key, how)
+    # Salts come from the row itself, so a task that runs again deals its rows alike.
     slices = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # At most 1 / HOT_SHARE rows, see hot_keys.
     hot = F.broadcast(hot_keys(df, key).withColumn("is_hot", F.lit(True)))
     is_hot = F.coalesce("is_hot", F.lit(False))
     salted = df.join(hot, key, "left").withColumn(
         "salt",
-        F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(slices))).otherwise(0),
+        F.when(is_hot, F.pmod(F.xxhash64(*df.columns), F.lit(slices))).otherwise(0),
     )
     last = F.when(is_hot, slices - 1).otherwise(0).cast("long")
     spread = keys.join(hot, key, "left").select(

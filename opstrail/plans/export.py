@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -9,13 +10,15 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from opstrail.errors import error_text
 from opstrail.functions.paths import dest_name
 from opstrail.operators import literals
 from opstrail.sources.tables import list_tables, read_table
 
 MAX_PARALLEL = 10
+SCRIPT_PART = re.compile(r"1-header|2-structure|4-footer|3-[0-9]{6}-.*-(1-open|2-rows|3-close)", re.S)
 
 # Session settings around a script, in the order they are written.
 SCRIPT_HEADER = [
@@ -41,7 +44,8 @@ SCRIPT_FOOTER = [
 
 @dataclass(frozen=True)
 class Destination:
-    """A folder to write and its format: ``text``, ``json``, ``orc`` or ``parquet``."""
+    """A folder to write and its format: rows as ``json``, ``orc`` or ``parquet``, INSERT
+    statements as ``text``, or a whole SQL ``script``."""
 
     path: str
     fmt: str = "parquet"
@@ -50,7 +54,9 @@ class Destination:
 @dataclass(frozen=True)
 class ExportJob:
     """One export. ``driver`` is a source format (``table``, ``parquet``, ``jdbc``, …) and
-    ``dsn`` what it reads; ``table`` is the name used in SQL text."""
+    ``dsn`` what it reads, with ``options``; ``table`` is the name used in SQL text, and
+    ``dump`` says how that text is made: ``batch_rows``, ``batch_by``, ``source_types``,
+    ``lossless``, ``parity``, and for scripts ``database``, ``locks`` and ``drop``."""
 
     name: str
     driver: str
@@ -60,6 +66,7 @@ class ExportJob:
     gzip: bool = False
     unique: bool = False
     options: dict = field(default_factory=dict)
+    dump: dict = field(default_factory=dict)
 
 
 def _write_file(df: DataFrame, path: str, fmt: str, gzip: bool) -> None:
@@ -96,7 +103,7 @@ def _outcome(dest: Destination, action: Callable[[], str]) -> tuple[str, str, bo
     try:
         return dest.path, action(), True, ""
     except Exception as problem:  # one destination must not stop the others
-        return dest.path, "", False, str(problem).splitlines()[0]
+        return dest.path, "", False, error_text(problem)
 
 
 def export_many(
@@ -141,6 +148,20 @@ def _write_lines(spark: SparkSession, lines: list[str], path: str, gzip: bool) -
     _write_file(df, path, "text", gzip)
 
 
+def _clear_script(spark: SparkSession, dest: str) -> None:
+    """Remove the parts of a script; a folder that holds anything else is refused."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(dest)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return
+    parts = [x.getPath() for x in fs.listStatus(folder)]
+    strange = [p.getName() for p in parts if not SCRIPT_PART.fullmatch(p.getName())]
+    if strange:
+        raise ValueError(f"{dest} holds more than a script: {strange[0]}")
+    for part in parts:
+        fs.delete(part, True)
+
+
 def export_sql(
     tables: dict[str, DataFrame],
     dest: str,
@@ -154,20 +175,24 @@ def export_sql(
 ) -> str:
     """A SQL script as a folder whose parts, in name order, are the script.
 
-    Header, definitions of all tables, rows table by table, footer. The rows
-    of a table are written by many tasks; a table without rows writes neither
-    statements nor locks. Types are checked before anything is written.
+    Header, definitions of all tables, rows table by table, footer; without
+    tables, header and footer. The rows of a table are written by many tasks; a
+    table without rows writes neither statements nor locks. Types are checked
+    before anything is written, and parts of an earlier script are removed.
     """
-    spark = next(iter(tables.values())).sparkSession
-    ddl = [s for name, df in tables.items() for s in literals.table_ddl(df.schema, name, drop)]
+    spark = SparkSession.active()
+    types = literal_options.get("source_types") or {}
+    ddl = [s for name, df in tables.items() for s in literals.table_ddl(df.schema, name, drop, types)]
     inserts = {
         name: literals.insert_statements(
             df, name, batch_rows, (batch_by or {}).get(name), **literal_options
         )
         for name, df in tables.items()
     }
+    _clear_script(spark, dest)
     _write_lines(spark, [f"-- Database: {database}", *SCRIPT_HEADER], f"{dest}/1-header", gzip)
-    _write_lines(spark, ddl, f"{dest}/2-structure", gzip)
+    if ddl:
+        _write_lines(spark, ddl, f"{dest}/2-structure", gzip)
     for i, (name, statements) in enumerate(inserts.items()):
         if tables[name].isEmpty():
             continue
@@ -198,6 +223,22 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part.alias("part"), "value")
 
 
+def job_faults(jobs: DataFrame) -> DataFrame:
+    """Adds ``fault`` to rows ``(name, dsn, driver, n_destinations)``: the first one of a job, or NULL."""
+
+    def blank(name: str) -> Column:
+        return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
+
+    homeless = F.concat(F.lit("job "), "name", F.lit(" has no destination"))
+    return jobs.withColumn(
+        "fault",
+        F.when(blank("name"), "job name is required")
+        .when(blank("dsn"), "database dsn is required")
+        .when(blank("driver"), "database driver is required")
+        .when(F.coalesce("n_destinations", F.lit(0)) == 0, homeless),
+    )
+
+
 def validate_jobs(jobs: list[ExportJob], max_parallel: int) -> None:
     """Raise with every fault found in a batch of jobs."""
     if max_parallel <= 0:
@@ -218,13 +259,25 @@ def validate_jobs(jobs: list[ExportJob], max_parallel: int) -> None:
 
 def run_job(spark: SparkSession, job: ExportJob, now: datetime | None = None) -> DataFrame:
     """Export of one job; raises with the errors of all failed destinations."""
-    options = dict(job.options)
-    batch_by = options.pop("batch_by", None)
-    df = read_table(spark, job.dsn, job.driver, **options)
-    if job.destinations[0].fmt == "text":
-        table = job.table or job.name
-        df = literals.insert_statements(df, table, batch_by=batch_by).select("statement")
-    outcome = export_many(df, job.destinations, job.gzip, job.unique, now)
+    df = read_table(spark, job.dsn, job.driver, **job.options)
+    table, dump = job.table or job.name, dict(job.dump)
+    frame = {k: dump.pop(k) for k in ("locks", "drop", "database") if k in dump}
+    by_kind = {"rows": [], "text": [], "script": []}
+    for dest in job.destinations:
+        by_kind[dest.fmt if dest.fmt in by_kind else "rows"].append(dest)
+    outcome = export_many(df, by_kind["rows"], job.gzip, job.unique, now)
+    if by_kind["text"]:
+        statements = literals.insert_statements(df, table, **dump).select("statement")
+        outcome = outcome.unionAll(export_many(statements, by_kind["text"], job.gzip, job.unique, now))
+    if by_kind["script"]:
+        ranges = {table: dump.pop("batch_by")} if "batch_by" in dump else None
+
+        def script(dest: Destination) -> str:
+            path = dest_name(dest.path, False, job.unique, now)
+            return export_sql({table: df}, path, batch_by=ranges, gzip=job.gzip, **frame, **dump)
+
+        done = [_outcome(d, lambda d=d: script(d)) for d in by_kind["script"]]
+        outcome = outcome.unionAll(spark.createDataFrame(done, outcome.schema))
     errors = [row.error for row in outcome.where(~F.col("ok")).collect()]
     if errors:
         raise RuntimeError("\n".join(errors))
@@ -250,7 +303,7 @@ def run_exports(
         try:
             run_job(spark, job, now)
         except Exception as problem:  # the outcome of the job
-            error = f"failed to store dump file {str(problem).splitlines()[0]}"
+            error = f"failed to store dump file {error_text(problem)}"
         return job.name, not error, error, int((time.monotonic() - start) * 1000)
 
     with ThreadPoolExecutor(max_parallel) as pool:

@@ -7,8 +7,10 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opstrail.errors import error_text
 from opstrail.functions.text import json_text
 from opstrail.operators import slowlog as ops
+from opstrail.sources.files import scanned_files
 from opstrail.sources.slowlog import read_slowlog
 
 REPORT_COLUMNS = ops.RECORD_FIELDS
@@ -51,12 +53,13 @@ def slow_report(
 
     Queries are told apart per file (``dedup="file"``) or over all files
     (``"global"``). Both the records and the status come from one aggregation
-    over one scan.
+    over one scan. A file without records has a status row too.
     """
     parse = parser_for(engine)
     raw = read_slowlog(spark, paths, pattern, recursive)
     groups = ops.slowest_groups(parse(raw, mask=mask, split_blocks=split_blocks))
     status = ops.file_status(groups)
+    names = scanned_files(spark, raw, paths, pattern)
     records = ops.apply_error_policy(
         ops.slowest_per_query(groups), status, on_error, n_files=len(raw.inputFiles())
     )
@@ -65,7 +68,7 @@ def slow_report(
     elif dedup != "file":
         raise ValueError(f"unknown dedup scope: {dedup}")
     ordered = ops.top_slowest(records, limit)
-    return SlowReport(ordered.select("file", *REPORT_COLUMNS), status)
+    return SlowReport(ordered.select("file", *REPORT_COLUMNS), ops.with_idle_files(status, names))
 
 
 def slowlog_json(report: SlowReport, limit: int) -> DataFrame:
@@ -107,10 +110,29 @@ def slow_envelope(spark: SparkSession, paths, limit: int, **options) -> DataFram
     try:
         report = slow_report(spark, paths, limit=limit, **options)
     except AnalysisException as problem:
-        return failed_envelope(spark, str(problem).splitlines()[0])
+        return failed_envelope(spark, error_text(problem))
     return slowlog_json(report, limit)
 
 
+def write_envelope(report: SlowReport, dest: str) -> None:
+    """The envelope of a report of any size as lines below ``dest``: in order of part and
+    line they are one JSON document. No cell holds more than one record, or the errors."""
+    row = F.to_json(F.struct(*REPORT_COLUMNS), {"ignoreNullFields": "false"})
+    error = F.to_json(F.struct("error"))
+    head = F.concat(
+        F.lit('{"ok":'), F.col("ok").cast("string"), F.lit(","),
+        F.substr(error, F.lit(2), F.length(error) - 2), F.lit(',"results":['),
+    )
+    parts = {
+        "1-head": ops.overall_status(report.status).select(head.alias("value")),
+        "2-first": report.records.limit(1).select(row.alias("value")),
+        "3-rest": report.records.offset(1).select(F.concat(F.lit(","), row).alias("value")),
+        "4-tail": report.records.sparkSession.range(1).select(F.lit("]}").alias("value")),
+    }
+    for name, lines in parts.items():
+        lines.write.mode("overwrite").text(f"{dest}/{name}")
+
+
 def write_report(report: SlowReport, dest: str) -> None:
     """Records and status of any size as JSON lines below ``dest``."""
     report.records.write.mode("overwrite").json(f"{dest}/results")

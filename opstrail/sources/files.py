@@ -108,6 +108,16 @@ def sniffed(files: DataFrame) -> DataFrame:
     )
 
 
+def scanned_files(spark: SparkSession, scan: DataFrame, paths, pattern: str = "") -> DataFrame:
+    """``(file)``: what a scan of ``read_lines`` was planned over, from its own file index."""
+    uris = {re.sub("^file:/+", "file:/", name) for name in scan.inputFiles()}
+    files = spark.createDataFrame([(u,) for u in sorted(uris)], "file string")
+    if pattern:
+        path = decoded(F.col("file"))
+        files = files.where(name_filter(pattern, base_name(path), path, as_list(paths)))
+    return files
+
+
 def read_lines(
     spark: SparkSession,
     paths,

@@ -141,3 +141,17 @@ def test_changelog_source(spark, tmp_path):
         (tmp_path / name).write_text('{"log_pos": 7, "v": 1}\n')
     got = read_changelog(spark, str(tmp_path), "json", "log_pos long, v long")
     assert sorted((r.log_file, r.log_seq) for r in got.collect()) == [("bin.000002", 2), ("bin.000003", 3)]
+
+
+def test_null_keys_are_replaced(spark):
+    base = spark.createDataFrame([(None, "old"), (1, "one")], "k int, v string")
+    changes = spark.createDataFrame([(None, "new", "upsert", 1, 5)], "k int, v string, op string, log_seq long, log_pos long")
+    got = {(r.k, r.v) for r in ops.restore_table(base, changes, ["k"]).collect()}
+    assert got == {(None, "new"), (1, "one")}
+
+
+def test_position_out_of_range_fails(spark):
+    line = "CHANGE MASTER TO MASTER_LOG_FILE='bin.7', MASTER_LOG_POS=99999999999999999999;"
+    lines = spark.createDataFrame([("f", 0, 0, line)], "file string, block_start long, row_id long, value string")
+    with pytest.raises(Exception, match="log position out of range: 99999999999999999999"):
+        ops.dump_coordinates(lines).collect()

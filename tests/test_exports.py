@@ -1,9 +1,12 @@
+import random
 from datetime import date, datetime, time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from opstrail.errors import error_text
+from opstrail.functions.literals import sql_float
 from opstrail.operators import literals
 from opstrail.operators.jobs import batch_outcome, result_text
 from opstrail.plans import export
@@ -150,3 +153,64 @@ def test_jdbc_options():
     assert "numPartitions" not in jdbc_options("jdbc:x", "t")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "t", "id")
+
+
+def test_large_and_negative_keys(spark):
+    ids = [-(1 << 62), -4, -3, -1, 0, 2, 3, (1 << 53) + 1, (1 << 53) + 2]
+    df = spark.createDataFrame([(i,) for i in ids], "k bigint")
+    got = {r.batch: r.statement for r in literals.insert_statements(df, "t", batch_by=("k", 3)).collect()}
+    want = {}
+    for i in ids:
+        want.setdefault(i // 3, []).append(f"({i})")
+    assert got == {b: f"INSERT INTO `t` (`k`) VALUES {','.join(v)};" for b, v in want.items()}
+
+
+def test_float_text_is_exact(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-7, 1.5e-6, 2.5e-6, 0.0000005, 1e-300, 123456.7890125, -2.5e-6, 8999999999.0000005]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 9) for _ in range(3000)]
+    values += [(2 * rng.randint(0, 10**7) + 1) / 2e6 for _ in range(3000)] + [k / 128 for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    got = [r.t for r in df.select(sql_float(F.col("d")).alias("t")).collect()]
+    assert got == ["%.6f" % v for v in values]
+    for strange in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="no SQL literal for"):
+            spark.createDataFrame([(strange,)], "d double").select(sql_float(F.col("d"))).collect()
+
+
+def test_script_replaces_an_older_one(spark, tmp_path):
+    dest = str(tmp_path / "s")
+    one, two = spark.range(2), spark.range(3)
+    export.export_sql({"a": one, "b": two}, dest)
+    export.export_sql({"a": one}, dest)
+    assert not any("`b`" in r.value for r in export.read_script(spark, dest).collect())
+    export.export_sql({}, dest)
+    assert {r.part for r in export.read_script(spark, dest).collect()} == {"1-header", "4-footer"}
+    (tmp_path / "s" / "letter.txt").write_text("mine")
+    with pytest.raises(ValueError, match="more than a script"):
+        export.export_sql({"a": one}, dest)
+    assert (tmp_path / "s" / "letter.txt").read_text() == "mine"
+
+
+def test_job_formats_and_options(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    where = {fmt: export.Destination(str(tmp_path / fmt), fmt) for fmt in ("text", "parquet", "script")}
+    job = export.ExportJob("j", "parquet", str(tmp_path / "t"), list(where.values()), table="t",
+                           dump={"batch_by": ("id", 2), "locks": False, "source_types": {"id": "YEAR"}})
+    assert export.run_job(spark, job).where("ok").count() == 3
+    assert spark.read.parquet(where["parquet"].path).count() == 5
+    assert sorted(r.value for r in spark.read.text(where["text"].path).collect())[0] == "INSERT INTO `t` (`id`) VALUES ('0'),('1');"
+    script = [r.value for r in export.read_script(spark, where["script"].path).collect()]
+    assert any("CREATE TABLE `t` (`id` YEAR" in x for x in script) and not any("LOCK" in x for x in script)
+    assert sum(x.startswith("INSERT") for x in script) == 3 and export.SCRIPT_FOOTER[-1] in script
+
+
+def test_errors_are_whole(spark, tmp_path):
+    assert error_text(ValueError()) == "ValueError" and error_text(ValueError("a\nb")) == "a\nb"
+    (tmp_path / "file").write_text("in the way")
+    spark.range(1).write.parquet(str(tmp_path / "t"))
+    bad = [export.Destination(str(tmp_path / "file" / n), "parquet") for n in ("x", "y")]
+    job = export.ExportJob("j", "parquet", str(tmp_path / "t"), bad)
+    error = export.run_exports(spark, [job]).first().error
+    assert error.startswith("failed to store dump file ") and error.count(str(tmp_path / "file")) >= 2
+    assert "calling o" not in error

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opstrail.operators import matching
 from opstrail.operators import slowlog as ops
-from opstrail.plans.slowlog import slow_envelope, slow_report, write_report
+from opstrail.plans.slowlog import slow_envelope, slow_report, write_envelope, write_report
 from opstrail.sources import read_slowlog
 
 
@@ -301,3 +301,20 @@ def test_many_files_are_not_broadcast(spark, logs, monkeypatch):
     assert [r.query_time for r in report.records.collect()] == seconds(HARBOUR, TIDES)
     final = report.records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert final.count("FileScan") <= 1
+
+
+def test_idle_files_have_a_status(spark, logs):
+    (logs / "empty.log").write_text("")
+    (logs / "notes.log").write_text("no record here\n")
+    status = {r.file.rsplit("/", 1)[1]: (r.ok, r.error, r.n_records) for r in slow_report(spark, str(logs), pattern="*.log").status.collect()}
+    assert status["empty.log"] == status["notes.log"] == (True, "", 0)
+    assert status["short.log"] == (True, "", len(HARBOUR)) and len(status) == 4
+
+
+def test_whole_envelope_as_lines(spark, logs, tmp_path):
+    report = slow_report(spark, str(logs), mask=True)
+    write_envelope(report, str(tmp_path / "e"))
+    text = "".join(p.read_text() for part in sorted((tmp_path / "e").iterdir()) for p in sorted(part.glob("part*")))
+    document = json.loads(text)
+    assert document["ok"] and document["error"] == ""
+    assert [r["query_time"] for r in document["results"]] == seconds(HARBOUR, HARBOUR, TIDES, mask=True)
