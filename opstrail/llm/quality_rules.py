@@ -2,12 +2,14 @@
 
 Each rule rejects a document whose statistic lies above a cutoff. Cutoffs come from
 a fixed grid, so labelled documents are a pure holdout: nothing was fitted to them.
-A cutoff is certified in a stratum if, with an exact binomial test at level
-``DELTA`` divided by the number of all tests (strata x rules x grid), the chance
-that it rejects a good document is below ``ALPHA`` / number of rules. The rules
-together then reject at most ``ALPHA`` of the good documents of every stratum, with
-probability 1 - ``DELTA`` at once for all. Of the certified cutoffs of a rule the
-lowest is used; a stratum without one lets everything pass.
+A cutoff is certified in a stratum if an exact binomial test shows that it rejects
+less than ``ALPHA`` / number of rules of the good documents. The rules together then
+reject at most ``ALPHA`` of the good documents of every stratum, with probability
+1 - ``DELTA`` at once for all. That takes a correction for many tests: a rule's cutoffs
+are tried from the highest down until one fails, a fixed sequence, which needs none,
+and ``DELTA`` is divided by the number of sequences (strata x rules). Counts of
+rejections only rise on the way down, so the lowest cutoff that passes is where the
+sequence ends; a stratum without one lets everything pass.
 
 All native: one pass computes the statistics of a row into a working table, the
 labelled ones are counted by (stratum, rule, grid cell), which is a few thousand
@@ -28,7 +30,7 @@ from opstrail.llm.common import SPACES, stored, table, whole, words
 
 #: Eight words; window hashes are joined from halves three times.
 WINDOW = 8
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.03, 0.05
 #: Strata that are told apart; any other language is one stratum.
 STRATA = ("de", "en", "es", "fr")
 #: Each rule's statistic as (numerator, denominator) and its grid of cutoffs, in thousandths.
@@ -178,7 +180,7 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     rows = counts.groupBy("stratum", "rule").agg(
         F.sum("n").alias("n"), F.collect_list(F.struct("cell", "n")).alias("cells")
     )
-    tests = (len(STRATA) + 1) * len(RULES) * len(GRID)
+    tests = (len(STRATA) + 1) * len(RULES)
     tried = rows.select("stratum", "rule", "n", "cells", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("cut"))
     tried = tried.withColumn(
         "k",
@@ -267,7 +269,7 @@ chance AS (SELECT *, CASE WHEN k >= n * {_P!r} THEN 1.0 ELSE list_sum(list_trans
     exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({_P!r}) + (n - j) * ln(1 - {_P!r})))) END AS p
     FROM tried),
 best AS (SELECT stratum, rule, min(cut) AS cut FROM chance
-    WHERE p <= {DELTA / ((len(STRATA) + 1) * len(RULES) * len(GRID))!r} GROUP BY ALL),
+    WHERE p <= {DELTA / ((len(STRATA) + 1) * len(RULES))!r} GROUP BY ALL),
 wide AS (SELECT stratum, {', '.join(f"min(cut) FILTER (rule = '{r}') AS k_{r}" for r in RULES)} FROM best GROUP BY stratum),
 judged AS (SELECT c.*, concat_ws(',', {', '.join(f"CASE WHEN c_{r} > k_{r} THEN '{r}' END" for r in RULES)}) AS rejected_by
     FROM c LEFT JOIN wide USING (stratum))
