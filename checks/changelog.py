@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import inputs
 from opstrail.functions import base_name, dir_name, glob_match, instant, relative_key
 from opstrail.operators import changelog as ops
+from opstrail.plans.restore import restore_job
 from opstrail.session import work_dir
 from opstrail.sources import read_changelog, read_dump_lines
 from opstrail.streaming import compact_parts, read_applied, stream_apply
@@ -94,6 +95,26 @@ def restore_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.restore_table(_snapshot(changes), window, KEYS)
 
 
+def restore_from_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restore of ``restore_table`` as one job, from a dump file that names where it was taken."""
+
+    def make(path: str) -> None:
+        rows = inputs.table(spark, sf_dir, "nation").select(F.concat(F.lit("-- "), "n_name").alias("value"))
+        at = "CHANGE MASTER TO MASTER_LOG_FILE='binlog.000000', MASTER_LOG_POS=77;"
+        head = rows.limit(1).select(F.lit(at).alias("value"))
+        head.unionAll(rows).coalesce(1).write.text(path)
+
+    changes = inputs.interleaved_events(spark, sf_dir)
+    names = changes.select(F.format_string("/logs/binlog.%06d", "log_seq").alias("path")).distinct()
+    job = restore_job(
+        spark, inputs.once(spark, sf_dir, "dump-at", make), names, changes, _snapshot(changes), KEYS, STOP
+    )
+    n_files = job.plan.agg(F.count(F.lit(1)).alias("n"), F.min("start_pos").alias("at"))
+    return job.table.select(
+        "*", n_files.select("n").scalar().alias("n_files"), n_files.select("at").scalar().alias("start_pos")
+    )
+
+
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = work_dir(spark, "stream")
     changes = inputs.interleaved_events(spark, sf_dir)
@@ -127,6 +148,7 @@ QUERIES = {
     "replay_commands": replay_commands,
     "dump_coordinates": dump_coordinates,
     "restore_table": restore_table,
+    "restore_from_dump": restore_from_dump,
     "stream_apply": stream_changes,
     "glob_filter": glob_filter,
 }
@@ -199,6 +221,11 @@ ORACLE = {
         arg_min(o_custkey, o_orderkey) AS log_pos
       FROM orders WHERE o_orderkey % 250 = 7 GROUP BY 1""",
     "restore_table": f"{WINDOW}, {_restored('win')}",
+    "restore_from_dump": f"""{WINDOW},
+      stops AS (SELECT max(log_seq) AS last FROM before), {_restored('win')}""".replace(
+        "SELECT user_id, item, event_type, value FROM",
+        "SELECT user_id, item, event_type, value, (SELECT last + 1 FROM stops) AS n_files, 77 AS start_pos FROM",
+    ),
     "stream_apply": f"WITH every AS ({INTERLEAVED}), {_restored('every')}",
     "glob_filter": f"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name,
         regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, CASE WHEN starts_with(url, 'http:') THEN ltrim(substr(url, 6), '/') ELSE url END AS key,

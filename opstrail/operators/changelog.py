@@ -55,7 +55,7 @@ def one_coordinate(lines: DataFrame) -> DataFrame:
     )
 
 
-def log_sequence(files: DataFrame, start: str | None = None) -> DataFrame:
+def log_sequence(files: DataFrame, start: str | Column | None = None) -> DataFrame:
     """Log files with ``log_seq``, from ``start`` on, without ``.index`` files.
 
     ``files`` has ``name`` or ``path``. Names without a number count as 0. An
@@ -68,6 +68,7 @@ def log_sequence(files: DataFrame, start: str | None = None) -> DataFrame:
     )
     if start is None:
         return logs
+    start = start if isinstance(start, Column) else F.lit(start)
     found = logs.agg(
         F.max(F.when(F.col("name") == start, F.col("log_seq"))).alias("seq"),
         F.count(F.lit(1)).alias("n"),
@@ -75,16 +76,16 @@ def log_sequence(files: DataFrame, start: str | None = None) -> DataFrame:
         F.when(F.col("n") == 0, F.raise_error(F.lit(NO_LOGS)).cast("bigint"))
         .when(
             F.col("seq").isNull(),
-            F.raise_error(F.lit(f"current log {start} not found")).cast("bigint"),
+            F.raise_error(F.concat(F.lit("current log "), start, F.lit(" not found"))).cast("bigint"),
         )
         .otherwise(F.col("seq"))
     )
     # Files sharing the start's number come after it in name order.
-    cut = F.struct(found.scalar(), F.lit(start))
+    cut = F.struct(found.scalar(), start)
     return logs.where(F.struct("log_seq", "name") >= cut)
 
 
-def after_start(events: DataFrame, log_seq: int, log_pos: int) -> DataFrame:
+def after_start(events: DataFrame, log_seq: int | Column, log_pos: int | Column) -> DataFrame:
     """Events after the start coordinates.
 
     ``log_pos`` of an event is its end, so the first event wanted, which
@@ -125,7 +126,7 @@ def stop_coordinate(events: DataFrame, stop: str, strict: bool = True) -> DataFr
 
 
 def replay_window(
-    events: DataFrame, start_seq: int, start_pos: int, stop: str | None = None
+    events: DataFrame, start_seq: int | Column, start_pos: int | Column, stop: str | None = None
 ) -> DataFrame:
     """Events to replay: after the start, and before the stop cut if there is one.
 
@@ -140,7 +141,7 @@ def replay_window(
 
 def replay_plan(
     files: DataFrame,
-    start_pos: int,
+    start_pos: int | Column,
     stop: DataFrame | None = None,
     chunk: int = FILES_PER_COMMAND,
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opstrail.operators import changelog as ops
 from opstrail.operators import ranking
+from opstrail.plans.restore import restore_job
 from opstrail.sources import read_changelog, read_dump_lines
 
 T0 = datetime(2024, 1, 1)
@@ -155,3 +156,28 @@ def test_position_out_of_range_fails(spark):
     lines = spark.createDataFrame([("f", 0, 0, line)], "file string, block_start long, row_id long, value string")
     with pytest.raises(Exception, match="log position out of range: 99999999999999999999"):
         ops.dump_coordinates(lines).collect()
+
+
+def test_restore_from_a_dump(spark, tmp_path):
+    dump = tmp_path / "dump.sql"
+    dump.write_text("-- a dump\n-- CHANGE MASTER TO MASTER_LOG_FILE='bin.000003', MASTER_LOG_POS=40;\nINSERT 1\n")
+    schema = "log_seq long, log_pos long, event_ts timestamp_ntz, op string, k int, v string"
+    day = datetime(2030, 1, 1)
+    rows = [
+        (2, 90, day + timedelta(hours=9), "upsert", 1, "before the dump, but late by its clock"),
+        (3, 40, day, "upsert", 1, "in the dump"),
+        (3, 70, day + timedelta(hours=1), "upsert", 2, "new"),
+        (4, 20, day + timedelta(hours=2), "delete", 3, "gone"),
+        (5, 10, day + timedelta(hours=8), "upsert", 1, "too late"),
+    ]
+    events = spark.createDataFrame(rows, schema)
+    base = spark.createDataFrame([(1, "in the dump"), (3, "old")], "k int, v string")
+    files = spark.createDataFrame([(f"bin.00000{i}",) for i in (1, 2, 3, 4, 5)], "name string")
+    job = restore_job(spark, str(dump), files, events, base, ["k"], "2030-01-01 08:00:00")
+    assert {tuple(r) for r in job.table.collect()} == {(1, "in the dump"), (2, "new")}
+    assert [r.command for r in job.commands.orderBy("batch_id").collect()] == ["bin.000003 --start-position=40", "bin.000004 --stop-position=20"]
+    whole = restore_job(spark, str(dump), files, events, base, ["k"])
+    assert {tuple(r) for r in whole.table.collect()} == {(1, "too late"), (2, "new")} and whole.plan.count() == 3
+    dump.write_text("no place named")
+    with pytest.raises(Exception, match="could not extract log file and position"):
+        restore_job(spark, str(dump), files, events, base, ["k"])
