@@ -59,6 +59,21 @@ RECORD_FIELDS = (
     + [*TEXT_METRICS.values(), "query"]
 )
 POSITION = ["block_start", "row_id", "sub_id"]
+# What a record keeps until the slowest ones are known; the other metrics are still text.
+HEAD_FIELDS = ["time", "user", "host_ip", "query_time", "metric_raw"]
+
+
+def _usual_line() -> str:
+    """A metric line that no parser can fault: names at most once, in their order, with plain
+    numbers. It captures the query time."""
+    decimal, whole = r"[0-9]{1,15}(?:\.[0-9]{1,15})?", "[0-9]{1,18}"
+    kinds = {**dict.fromkeys(FLOAT_METRICS, decimal), **dict.fromkeys(INT_METRICS, whole)}
+    kinds |= dict.fromkeys(TEXT_METRICS, "[0-9][!-~]*")
+    rest = "".join(f"(?: +{n}: {kinds[n]}(?= |$))?+" for n in kinds if n != "Query_time")
+    return f"^# Query_time: ({decimal})(?= |$){rest} *$"
+
+
+USUAL_LINE = _usual_line()
 
 
 def split_records(raw: DataFrame, split_blocks: bool = False) -> DataFrame:
@@ -291,14 +306,65 @@ def parse_records(raw: DataFrame, mask: bool = False, split_blocks: bool = False
     """
     records = with_time(split_records(raw, split_blocks))
     records = with_query(with_metrics(with_user_host(records)), mask)
-    errors = F.array(
+    record = F.struct("file", *POSITION, "lead", *RECORD_FIELDS, _record_error().alias("error"))
+    return records.select(F.inline(F.array(record)))
+
+
+def _record_error() -> Column:
+    return F.coalesce(
         "scan_error", F.when(F.col("time") == "", TIME_ERROR), "user_error", "metric_error"
     )
-    error = _first(errors, lambda e: e.isNotNull())
-    record = F.struct("file", *POSITION, "lead", *RECORD_FIELDS, error.alias("error"))
+
+
+def with_query_time(records: DataFrame) -> DataFrame:
+    """``query_time``, ``metric_error`` and ``metric_raw``, the metric lines as they are.
+
+    A usual line is told by one pattern; only others are taken apart here, to
+    see whether all of their numbers are good. ``with_metrics`` reads
+    ``metric_raw`` as it reads a record's text.
+    """
+    lines = _with_lines(records, "metric_lines", "# Query_time")
+    only = F.when(F.size("metric_lines") == 1, F.get("metric_lines", F.lit(0)))
+    raw = F.concat(F.lit("\n"), F.array_join("metric_lines", "\n"))
+    told = lines.withColumns(
+        {
+            "usual_time": F.coalesce(F.regexp_extract(only, USUAL_LINE, 1), F.lit("")),
+            "metric_raw": F.when(F.size("metric_lines") > 0, raw).otherwise(""),
+            "record_text": F.col("text"),
+        }
+    ).drop("metric_lines")
+    rest = F.when(F.col("usual_time") != "", "").otherwise(F.col("metric_raw"))
+    parsed = with_metrics(told.withColumn("text", rest))
+    usual = F.when(F.col("usual_time") != "", F.col("usual_time").cast("double"))
+    return parsed.select(
+        *[F.col("record_text").alias("text") if c == "text" else c for c in records.columns],
+        F.coalesce(usual, "query_time").alias("query_time"),
+        "metric_error",
+        "metric_raw",
+    )
+
+
+def parse_heads(raw: DataFrame, mask: bool = False, split_blocks: bool = False) -> DataFrame:
+    """Raw records with ``HEAD_FIELDS``, ``query`` and ``error``; ``finish_records`` reads the rest."""
+    records = with_time(split_records(raw, split_blocks))
+    records = with_query(with_query_time(with_user_host(records)), mask)
+    record = F.struct(
+        "file", *POSITION, "lead", *HEAD_FIELDS, "query", _record_error().alias("error")
+    )
     return records.select(F.inline(F.array(record)))
 
 
+def finish_records(records: DataFrame) -> DataFrame:
+    """All fields of the records that are left, in the order they come in.
+
+    Records pass through ``inline``, or the optimizer would read the metrics
+    below a limit and then sort whole records.
+    """
+    rest = records.withColumnRenamed("metric_raw", "text").drop("query_time")
+    rest = rest.select(F.inline(F.array(F.struct(*rest.columns))))
+    return with_metrics(rest).select("file", *POSITION, *RECORD_FIELDS)
+
+
 def timed() -> Column:
     """Query time above zero and a query; NaN is not above zero here."""
     return (F.col("query_time") > 0) & ~F.isnan("query_time") & (F.col("query") != "")
@@ -320,7 +386,8 @@ def slowest_groups(records: DataFrame) -> DataFrame:
     may stand before a log's first record, ``dropped``). One aggregation
     serves the report and the file status. Grouping starts with a hash so that
     the sort compares numbers, and partial aggregation leaves at most one row
-    per task of a hot query.
+    per task of a hot query. Rows are narrow: the query is the key alone, and
+    metrics stay one text.
     """
     kind = (
         F.when((F.col("error") == TIME_ERROR) & F.col("lead"), "lead")
@@ -338,7 +405,7 @@ def slowest_groups(records: DataFrame) -> DataFrame:
         .groupBy("group_hash", "file", "group_key")
         .agg(
             F.min_by(
-                F.struct("kind", "file", *POSITION, "error", *RECORD_FIELDS),
+                F.struct("kind", "file", *POSITION, "error", *HEAD_FIELDS),
                 F.struct(-slowness, *POSITION),
             ).alias("best"),
             F.min(F.struct(*POSITION)).alias("first_at"),
@@ -349,7 +416,7 @@ def slowest_groups(records: DataFrame) -> DataFrame:
 
 
 def slowest_per_query(groups: DataFrame) -> DataFrame:
-    """The kept queries of ``slowest_groups`` as records.
+    """The kept queries of ``slowest_groups``, for ``finish_records`` to read in full.
 
     All results of the aggregation are used, as ``file_status`` uses them, so
     that a plan with both runs the scan and the aggregation once.
@@ -359,7 +426,10 @@ def slowest_per_query(groups: DataFrame) -> DataFrame:
         & (F.col("n_records") > 0)
         & (F.col("first_at") <= F.col("last_at"))
     )
-    return kept.select(*[F.col(f"best.{c}").alias(c) for c in ["file", *POSITION, *RECORD_FIELDS]])
+    return kept.select(
+        *[F.col(f"best.{c}").alias(c) for c in ["file", *POSITION, *HEAD_FIELDS]],
+        F.substr("group_key", F.lit(2)).alias("query"),
+    )
 
 
 def slowest_overall(records: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ REPORT_COLUMNS = ops.RECORD_FIELDS
 
 
 def parse_mysql(raw: DataFrame, mask: bool = False, split_blocks: bool = False) -> DataFrame:
-    return ops.parse_records(raw, mask=mask, split_blocks=split_blocks)
+    return ops.parse_heads(raw, mask=mask, split_blocks=split_blocks)
 
 
-# Parsers by engine: raw records to typed records with an ``error`` column.
+# Parsers by engine: raw records to their heads with an ``error`` column.
 PARSERS = {"mysql": parse_mysql}
 
 
@@ -67,7 +67,7 @@ def slow_report(
         records = ops.slowest_overall(records)
     elif dedup != "file":
         raise ValueError(f"unknown dedup scope: {dedup}")
-    ordered = ops.top_slowest(records, limit)
+    ordered = ops.finish_records(ops.top_slowest(records, limit))
     return SlowReport(ordered.select("file", *REPORT_COLUMNS), ops.with_idle_files(status, names))
 
 

@@ -123,7 +123,7 @@ def read_slow_table(spark: SparkSession, target: str, on_error: str = "file") ->
     records = ops.apply_error_policy(
         ops.slowest_per_query(groups), ops.file_status(groups), on_error
     )
-    return records.select("file", *REPORT_COLUMNS)
+    return ops.finish_records(records).select("file", *REPORT_COLUMNS)
 
 
 def stream_new_content(
