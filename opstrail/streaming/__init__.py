@@ -1,4 +1,5 @@
 from opstrail.streaming.streams import (
+    compact_in_place,
     compact_parts,
     read_applied,
     read_slow_table,
@@ -8,6 +9,6 @@ from opstrail.streaming.streams import (
 )
 
 __all__ = [
-    "compact_parts", "read_applied", "read_slow_table", "stream_apply",
+    "compact_in_place", "compact_parts", "read_applied", "read_slow_table", "stream_apply",
     "stream_new_content", "stream_slowlog",
 ]

@@ -10,6 +10,7 @@ and reading a row twice changes nothing.
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -180,3 +181,25 @@ def compact_parts(spark: SparkSession, target: str, dest: str, keys: list[str] |
     parts = _read_parts(spark, target)
     merged = changelog.latest_changes(parts, keys) if keys else _merged_groups(parts)
     _write_part(merged, dest, "merged", 0)
+
+
+def compact_in_place(spark: SparkSession, target: str, keys: list[str] | None = None) -> int:
+    """Replace the parts of a table by one; returns how many there were.
+
+    Only parts that are there at the start are read and, once their merge is
+    written, deleted: streams may go on adding parts, and if this stops in
+    between, a row is merely there twice, which changes nothing. A reader that
+    has planned its scan before should start again.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/stream_id=*/batch_id=*")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.globStatus(folder) or []]
+    if len(old) < 2:
+        return len(old)
+    parts = spark.read.option("basePath", target).parquet(*[p.toString() for p in old])
+    parts = parts.drop("stream_id", "batch_id")
+    merged = changelog.latest_changes(parts, keys) if keys else _merged_groups(parts)
+    _write_part(merged, target, f"merged-{uuid.uuid4().hex}", 0)
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

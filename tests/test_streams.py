@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opstrail.operators.changelog import latest_changes
 from opstrail.plans.slowlog import slow_report
 from opstrail.streaming import (
+    compact_in_place,
     compact_parts,
     read_applied,
     read_slow_table,
@@ -89,5 +90,9 @@ def test_apply_in_any_order(spark, tmp_path):
         stream = spark.readStream.schema(changes.schema).parquet(source)
         stream_apply(stream, table, ["k"], str(tmp_path / "mark")).awaitTermination()
     want = sorted(map(tuple, latest_changes(changes, ["k"]).select("k", "log_pos", "v").collect()))
-    got = read_applied(spark, table, ["k"]).select("k", "log_pos", "v")
-    assert sorted(map(tuple, got.collect())) == want
+    def answer():
+        return sorted(map(tuple, read_applied(spark, table, ["k"]).select("k", "log_pos", "v").collect()))
+
+    assert answer() == want
+    assert compact_in_place(spark, table, ["k"]) == 2 and answer() == want
+    assert len(list((tmp_path / "table").glob("*/batch_id=*"))) == 1 == compact_in_place(spark, table, ["k"])
