@@ -31,6 +31,9 @@ MAX_COPIES = 3
 SHORT = 50
 #: A rank has RANK_BITS bits; a round looks at CELL_BITS of them.
 RANK_BITS, CELL_BITS, ROUNDS = 48, 12, 2
+#: A table with a row for each of so many sources is a few megabytes and is broadcast; a longer one is
+#: joined by a shuffle, in which Spark splits the partition of a hot source.
+FEW_SOURCES = 50_000
 SEED = "mix"
 
 
@@ -104,14 +107,15 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     m2 = F.least(F.lit(float(MAX_COPIES)), 2 * level)
     m1 = F.least(F.lit(float(MAX_COPIES)), F.when(2 * level > MAX_COPIES, capped).otherwise(level))
     plan = stored(spark, plan.select("source", "source_size", "target", m1.alias("m1"), m2.alias("m2")), "mix-plan")
-    wanted = _with_plan(rows, plan)
+    few = plan.count() <= FEW_SOURCES
+    wanted = _with_plan(rows, plan, few)
     wanted = wanted.withColumn("m", F.when(F.col("pref") == 1, F.col("m1")).otherwise(F.col("m2")))
     wanted = wanted.withColumn("sure", F.floor("m").cast("bigint")).withColumn("p", F.col("m") - F.floor("m"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     # Ranks are whole numbers of RANK_BITS bits; a document that may not get another copy has none.
     rank = F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("bigint")
     wanted = wanted.withColumn("rank", F.when(F.col("p") > 0, rank))
-    chosen = _with_plan(wanted, _cutoffs(spark, wanted), "left")
+    chosen = _with_plan(wanted, _cutoffs(spark, wanted, few), few, "left")
     prefix = F.shiftright("rank", RANK_BITS - ROUNDS * CELL_BITS)
     upto = F.struct("rank", F.coalesce("doc_id", F.lit(-1)), "key") <= F.col("edge")
     first = (prefix < F.col("prefix")) | ((prefix == F.col("prefix")) & F.coalesce(upto, F.lit(False)))
@@ -121,14 +125,14 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with their source's row of ``plan``. Spark broadcasts the plan while it is small and
-    splits the partition of a hot source otherwise."""
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with their source's row of ``plan``; ``few`` says that sources are few enough to send."""
     other = plan.withColumnRenamed("source", "source_")
+    other = F.broadcast(other) if few else other
     return rows.join(other, F.col("source").eqNullSafe(F.col("source_")), how).drop("source_")
 
 
-def _cutoffs(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+def _cutoffs(spark: SparkSession, wanted: DataFrame, few: bool) -> DataFrame:
     """source, prefix and edge: documents whose rank starts with less than ``prefix`` get another copy,
     and of those that start with it the ones up to ``edge``, a (rank, id, key)."""
     ranked = wanted.filter("rank IS NOT NULL")
@@ -142,7 +146,7 @@ def _cutoffs(spark: SparkSession, wanted: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         now = bits - CELL_BITS
         cells = (
-            _with_plan(ranked.select("source", "rank", "size"), state)
+            _with_plan(ranked.select("source", "rank", "size"), state, few)
             .filter(F.shiftright("rank", bits) == F.col("prefix"))
             .groupBy("source", F.shiftright("rank", now).alias("cell"))
             .agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("before").alias("before"))
@@ -159,7 +163,7 @@ def _cutoffs(spark: SparkSession, wanted: DataFrame) -> DataFrame:
             spark, first.select("source", "need", F.col("hit.cell").alias("prefix"), F.col("hit.before").alias("before")), "mix-state"
         )
         bits = now
-    near = _with_plan(ranked.select("source", "rank", "doc_id", "key", "size"), state)
+    near = _with_plan(ranked.select("source", "rank", "doc_id", "key", "size"), state, few)
     order = Window.partitionBy("source").orderBy("rank", F.coalesce("doc_id", F.lit(-1)), "key")
     last = near.filter(F.shiftright("rank", bits) == F.col("prefix")).withColumn(
         "to", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -167,7 +171,7 @@ def _cutoffs(spark: SparkSession, wanted: DataFrame) -> DataFrame:
     # A document is taken if that brings the sum nearer to what is needed.
     taken = last.filter(F.abs(F.col("to") - F.col("need")) <= F.abs(F.col("to") - F.col("size") - F.col("need")))
     edges = taken.groupBy("source").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-1)).alias("id"), "key")).alias("edge"))
-    return _with_plan(state.select("source", "prefix"), edges, "left")
+    return _with_plan(state.select("source", "prefix"), edges, few, "left")
 
 
 def repeat_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:

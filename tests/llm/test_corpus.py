@@ -62,7 +62,9 @@ def test_repeated_documents(spark, odd, none):
     assert mx.repeat_documents(spark, none).count() == 0
 
 
-def test_hot_source_near_target(spark):
+@pytest.mark.parametrize("few", [50_000, 1])
+def test_hot_source_near_target(spark, monkeypatch, few):
+    monkeypatch.setattr(mx, "FEW_SOURCES", few)
     rng = random.Random(1)
     rows = [(i, "w " * rng.choice([1, 5, 60, 300]), "hot" if i % 3 == 0 else f"s{i % 40:02}") for i in range(3000)]
     got = mx.mix(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
