@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opstrail.llm.common import free_name, stored, table, whole
@@ -71,15 +71,24 @@ def _fingerprints(shingle: int):
         for part in parts:
             texts = part.column(1).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            carried = {n: part.column(n) for n in part.schema.names[2:]}
+            made = {"doc_id": part.column(0), "fp": pa.array(found.view(np.int64)), **carried}
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row; a null text counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), whole(F.col("text")))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+def text_digest(docs: DataFrame) -> Column:
+    """16 bytes that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(whole(docs["text"]).cast("binary")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of every row, and the text's digest if wanted; a null text counts as empty."""
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"), whole(F.col("text")).alias("text"), *([text_digest(docs).alias("digest")] if digest else [])
+    )
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint" + (", digest binary" if digest else ""))
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -236,6 +245,13 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return runs.mapInArrow(_linker(max_bits), "a bigint, b bigint").distinct()
 
 
+def with_component(spark: SparkSession, distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``distinct``, a row for each ``fp``, with ``component``: the smallest fingerprint reachable over links."""
+    parts = connected_components(spark, link_fingerprints(distinct, max_bits))
+    found = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    return found.withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -243,41 +259,44 @@ def near_duplicates(
 
     component_id is the smallest doc_id reachable over links, null ids aside; it is null
     only if a component has null ids alone. Texts without words have fingerprint zero and
-    are linked like others. Repeated rows and ties share a component.
+    are linked like others. Repeated rows and ties share a component. Components with null
+    ids alone, or with the same smallest id, share a component_id without being one.
     """
     rows = stored(spark, fingerprints(docs, shingle), "simhash-rows")
     distinct = stored(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    links = link_fingerprints(distinct, max_bits)
-    parts = connected_components(spark, links)
-    known = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
-    )
+    known = with_component(spark, distinct, max_bits)
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     member = known.join(lowest, "component").select("fp", "component_id")
     return rows.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id.
+    """``docs`` with one row of each component: that of its smallest doc_id, null ids last.
 
-    Rows without words share a fingerprint and so are one group. Of rows that repeat the
-    smallest doc_id one stays; so does one of a component of null ids.
+    Rows without words share a fingerprint and so are one group. Of different texts under
+    that id in one component the one of the smallest digest stays, and of rows equal in id
+    and text one. Each component keeps its own row, whatever ids other components have.
     """
-    at, id_ = (free_name(docs, n) for n in ("row_at", "row_id"))
-    found = near_duplicates(spark, docs, shingle, max_bits)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(id_)
-    )
-    keep = stored(spark, keep.groupBy(id_).agg(F.count("*").alias(at)), "simhash-kept")
-    single = keep.filter((F.col(at) == 1) & F.col(id_).isNotNull()).select(id_)
-    rest = keep.filter((F.col(at) > 1) | F.col(id_).isNull()).select(id_)
-    kept = docs.join(single, F.col("doc_id") == F.col(id_), "left_semi")
+    at, id_, body, kept_body = (free_name(docs, n) for n in ("row_at", "row_id", "row_digest", "kept_digest"))
+    rows = stored(spark, fingerprints(docs, shingle, digest=True), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    distinct = stored(spark, rows.groupBy("fp").agg(first.alias("low")), "simhash-distinct")
+    low = with_component(spark, distinct, max_bits).groupBy("component").agg(F.min("low").alias("low"))
+    repeated = rows.groupBy("doc_id", "digest").count().filter("count > 1")
+    many = repeated.select(F.col("doc_id").alias("again"), F.col("digest").alias("again_digest"))
+    kept = low.select(F.col("low.doc_id").alias(id_), F.col("low.digest").alias(kept_body))
+    kept = kept.join(many, F.col(id_).eqNullSafe(F.col("again")) & (F.col(kept_body) == F.col("again_digest")), "left")
+    kept = stored(spark, kept.select(id_, kept_body, F.col("again_digest").isNotNull().alias(at)), "simhash-kept")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.col(body) == F.col(kept_body))
+    read = docs.withColumn(body, text_digest(docs))
+    once = read.join(kept.filter(~F.col(at)), same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = kept.filter(F.col(at))
     if rest.isEmpty():
-        return kept
-    # Repeated or missing ids: one row for each, the same one in every run.
-    again = docs.join(rest, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    one = again.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(at))
-    return kept.unionByName(one.select(f"{at}.*"))
+        return once
+    # Rows equal in id and text: one for each such pair, the same one in every run.
+    again = read.join(rest, same, "left_semi")
+    one = again.groupBy("doc_id", body).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(at))
+    return once.unionByName(one.select(f"{at}.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

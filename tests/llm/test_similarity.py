@@ -89,6 +89,24 @@ def test_simhash_of_odd_rows(spark, odd, none, rows):
     assert sh.near_duplicates(spark, none).count() == 0 and sh.keep_one(spark, none).count() == 0
 
 
+def test_one_row_is_kept_of_each_component(spark, odd, rows):
+    own = [(None, "alone " + "a b c d e " * 9, "en", "s", 1), (None, "quite another text of words " * 7, "en", "s", 1)]
+    own += [own[0], (106, rows[1][1], "en", "s9", 1), (106, None, "en", "s9", 1)]
+    every = [*rows, *own]
+    docs = odd.unionByName(spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string, n_chars bigint"), allowMissingColumns=True)
+    fps = {t: plain_fingerprint(t) for _, t, *_ in every}
+    distinct = sorted(set(fps.values()))
+    group = dict(zip(distinct, components(distinct), strict=True))
+    first = {}
+    for i, t, *_ in every:
+        key = (i is None, i or 0, hashlib.md5((t or "").encode()).digest())
+        first[group[fps[t]]] = min(first.get(group[fps[t]], key), key)
+    kept = sh.keep_one(spark, docs).collect()
+    got = Counter((group[fps[r.text]], (r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).digest())) for r in kept)
+    assert got == Counter(first.items())
+    assert sum(r.doc_id is None for r in kept) == 3 and sum(r.doc_id == 106 for r in kept) == 2
+
+
 def test_chain_is_one_component(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001)]
     got = {r.node: r.component for r in connected_components(spark, spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
