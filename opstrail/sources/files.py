@@ -137,7 +137,8 @@ def read_lines(
     meta_path = F.col("_metadata.file_path")
     plain = (
         spark.read.option("lineSep", separator)
-        .option("ignoreMissingFiles", "true")  # those are reported by the other branch
+        # Files gone when sniffed go to the other branch; one that goes later must fail the job.
+        .option("ignoreMissingFiles", "false")
         .option("recursiveFileLookup", str(recursive).lower())
         .text(paths)
     )

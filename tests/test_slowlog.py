@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opstrail.operators import matching
 from opstrail.operators import slowlog as ops
 from opstrail.plans.slowlog import slow_envelope, slow_report, write_envelope, write_report
-from opstrail.sources import read_slowlog
+from opstrail.sources import files, read_slowlog
 
 
 def entry(time, user, host, metrics, query, stamp=1935940801):
@@ -311,6 +311,27 @@ def test_idle_files_have_a_status(spark, logs):
     assert status["short.log"] == (True, "", len(HARBOUR)) and len(status) == 4
 
 
+def test_files_that_vanish(spark, logs, monkeypatch):
+    (logs / "gone.log").write_text((logs / "short.log").read_text())
+    sniff = files.sniffed
+
+    def late(listed):
+        (logs / "gone.log").unlink()
+        return sniff(listed)
+
+    with monkeypatch.context() as m:  # gone when sniffed: that file's error
+        m.setattr(files, "sniffed", late)
+        report = slow_report(spark, str(logs), pattern="*.log")
+    status = {r.file.rsplit("/", 1)[1]: r.ok for r in report.status.collect()}
+    assert status["gone.log"] is False and status["short.log"] is True
+    (logs / "gone.log").write_text((logs / "short.log").read_text())
+    report = slow_report(spark, str(logs), pattern="*.log")
+    (logs / "gone.log").unlink()
+    for rows in (report.status, report.records):  # gone after planning: never a report without it
+        with pytest.raises(Exception, match="gone.log"):
+            rows.collect()
+
+
 def test_whole_envelope_as_lines(spark, logs, tmp_path):
     report = slow_report(spark, str(logs), mask=True)
     write_envelope(report, str(tmp_path / "e"))
