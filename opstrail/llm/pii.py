@@ -30,13 +30,35 @@ class Kind:
     base: bool = True
 
 
+#: Length of an account number without spaces, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    spaced = rf"(?:\x20[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "")
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})(?![A-Za-z0-9])"
+
+
+#: A number of its country's length ends there, whatever word follows. Any other code takes all
+#: groups up to the next such number, and a short last group only if it is a whole word.
+_IBAN = "(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + ")"
+IBAN = (
+    rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}+|(?:\x20(?!{_IBAN})[A-Z0-9]{{4}}){{2,7}}+"
+    r"(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+)(?![A-Za-z0-9]))"
+)
 #: The kinds in the order that breaks ties.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.4),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])", "", 0.2, False),
+    Kind("iban", IBAN, "", 0.2, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, False),
 )
 #: Words before a span that speak for its kind, and those against any.
@@ -103,32 +125,64 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def placed(matches: Column, gaps: Column) -> Column:
-    """Array of (gap, match, start, end) from the matches and the text between them."""
+def last(text: Column) -> Column:
+    return F.substring(text, -CONTEXT, CONTEXT)
+
+
+def placed(matches: Column, gaps: Column, speaking: str = "") -> Column:
+    """Array of (gap, match, s, e, spoken) from the matches and the text between them.
+
+    ``spoken`` is whether ``speaking`` is found in the ``CONTEXT`` characters before a match, earlier
+    matches among them, or was for the match before, at most ``CONTEXT`` characters away: in a
+    list of numbers the word before the first speaks for all. Without ``speaking`` it is null.
+    """
     size = F.size(matches)
     rows = F.arrays_zip(F.slice(gaps, 1, size).alias("gap"), matches.alias("match"))
     chunks = F.transform(
         F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")),
         lambda c: F.slice(rows, c * CHUNK + 1, CHUNK),
     )
-    one = "array<struct<gap:string,match:string,s:bigint,e:bigint>>"
+    one = "array<struct<gap:string,match:string,s:bigint,e:bigint,spoken:boolean>>"
+    state = "struct<at:bigint,tail:string,spoken:boolean,out:{}>"
 
-    def walk(chunk: Column, start: Column) -> Column:
-        first = F.struct(start.alias("at"), F.array().cast(one).alias("out"))
+    def walk(chunk: Column, before: Column) -> Column:
+        first = F.struct(
+            before["at"].alias("at"), before["tail"].alias("tail"), before["spoken"].alias("spoken"), F.array().cast(one).alias("out")
+        ).cast(state.format(one))
 
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + F.length(x["gap"])
             end = begin + F.length(x["match"])
-            item = F.struct(x["gap"].alias("gap"), x["match"].alias("match"), begin.alias("s"), end.alias("e"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+            if speaking:
+                near = last(F.concat(acc["tail"], last(x["gap"])))
+                spoken = F.lower(near).rlike(speaking) | (acc["spoken"] & (F.length(x["gap"]) <= CONTEXT))
+                tail = last(F.concat(near, last(x["match"])))
+            else:
+                spoken, tail = acc["spoken"], acc["tail"]
+            item = F.struct(
+                x["gap"].alias("gap"), x["match"].alias("match"), begin.alias("s"), end.alias("e"), spoken.alias("spoken")
+            )
+            return F.struct(
+                end.alias("at"), tail.alias("tail"), spoken.alias("spoken"), F.concat(acc["out"], F.array(item)).alias("out")
+            ).cast(state.format(one))
 
         return F.aggregate(chunk, first, step)
 
     def join(acc: Column, chunk: Column) -> Column:
-        done = walk(chunk, acc["at"])
-        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+        done = walk(chunk, acc)
+        return F.struct(
+            done["at"].alias("at"),
+            done["tail"].alias("tail"),
+            done["spoken"].alias("spoken"),
+            F.concat(acc["out"], F.array(done["out"])).alias("out"),
+        ).cast(state.format(f"array<{one}>"))
+
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("at"),
+        F.lit("").alias("tail"),
+        F.lit(False if speaking else None).cast("boolean").alias("spoken"),
+        F.array().cast(f"array<{one}>").alias("out"),
+    ).cast(state.format(f"array<{one}>"))
     return F.flatten(F.aggregate(chunks, start, join)["out"])
 
 
@@ -136,14 +190,16 @@ SPAN = "array<struct<s:bigint,k:int,e:bigint,kind:string,base:boolean,score:doub
 
 
 def spans_of(order: int, kind: Kind, text: Column, matches: Column) -> Column:
-    """The confirmed spans of one kind, scored."""
+    """The confirmed spans of one kind, scored. Words against a span count from the match before it on;
+    so do those for a base kind, whose spans stay anyway."""
 
     def scored(x: Column) -> Column:
-        near = F.lower(F.substring(x["gap"], -CONTEXT, CONTEXT))
+        near = F.lower(last(x["gap"]))
+        spoken = near.rlike(SPEAKING[kind.name]) if kind.base else x["spoken"]
         score = (
             F.lit(kind.prior)
             + (CHECKSUM_BONUS if kind.name in ("card", "iban") else 0.0)
-            + F.when(near.rlike(SPEAKING[kind.name]), CONTEXT_BONUS).otherwise(0.0)
+            + F.when(spoken, CONTEXT_BONUS).otherwise(0.0)
             - F.when(near.rlike(AGAINST), CONTEXT_MALUS).otherwise(0.0)
         )
         return F.struct(
@@ -156,10 +212,8 @@ def spans_of(order: int, kind: Kind, text: Column, matches: Column) -> Column:
         )
 
     good = F.filter(matches, lambda m: confirmed(kind.name, m))
-    found = F.transform(
-        F.filter(placed(matches, F.split(text, kind.pattern, -1)), lambda x: confirmed(kind.name, x["match"])),
-        scored,
-    )
+    places = placed(matches, F.split(text, kind.pattern, -1), "" if kind.base else SPEAKING[kind.name])
+    found = F.transform(F.filter(places, lambda x: confirmed(kind.name, x["match"])), scored)
     if not kind.base:
         found = F.filter(found, lambda x: x["score"] >= THRESHOLD)
     # A text without a confirmed match is not split: most texts end here.

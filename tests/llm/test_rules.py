@@ -127,6 +127,28 @@ def test_checksums_and_context(spark):
     assert got == {0: [("iban", "DE89 3704 0044 0532 0130 00")], 1: [], 2: [("iban", "GB82WEST12345698765432")], 3: [("ssn", "219-09-9999")], 4: [], 5: []}
 
 
+def test_ibans_before_words_and_lists_of_ssns(spark):
+    es, be, de, no = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    ssns = [f"{a}-{b}-{c}" for a, b, c in zip(range(219, 819), [*range(10, 60)] * 12, range(9000, 9600), strict=True) if a != 666]
+    listed = ", ".join(ssns)
+    texts = {
+        0: (f"{es} El banco", [es]),
+        1: (f"{be} BIC GKCCBEBB", [be]),
+        2: (f"{be} EURO, {be} {de} {no} AND {es}", [be, be, de, no, es]),
+        3: (f"REF AB12 {es} x", [es]),
+        4: ("SSN: 219-09-9999, 457-55-5462", ["219-09-9999", "457-55-5462"]),
+        5: ("SSN 219-09-9999, 000-12-3456, 457-55-5462", ["219-09-9999", "457-55-5462"]),
+        6: (f"name | ssn\n{listed}", ssns),
+        7: ("ssn 219-09-9999 " + "x " * 40 + "457-55-5462", ["219-09-9999"]),
+        8: ("ssn 219-09-9999, order 457-55-5462", ["219-09-9999"]),
+        9: ("219-09-9999, 457-55-5462", []),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id bigint, text string")
+    got = {r.doc_id: [texts[r.doc_id][0][x["s"] : x["e"]] for x in r.spans if not x["base"]] for r in pii.find_spans(df).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
+    assert "-9001" not in pii.redact(df).filter("doc_id = 6").first().text
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, none, rows):
     clean = pii.redact(odd)
     assert clean.columns == odd.columns and clean.count() == len(rows)
