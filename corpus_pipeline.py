@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
-    return packing.pack(spark, docs)
+    """The pieces of the documents with their token ids and places in sequences."""
+    return packing.pack(spark, docs, keep_ids=True)
 
 
 STAGES = [

@@ -256,3 +256,33 @@ def test_pipeline_like_plain_python(spark):
     assert all(r.n_chars == len(r.text) and "@mail" not in r.text for r in clean.collect())
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.agg(F.sum("length")).first()[0] > 0 and {r.doc_id for r in done.collect()} <= set(low.values())
+
+
+def test_last_stages_like_plain_python(spark):
+    """Mixing by plain targets; packing by the library's ids of every mixed text, all there and in place."""
+    from tokenizers import Tokenizer
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).localCheckpoint()
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir).localCheckpoint()
+    size = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in docs.collect()}
+    sums, taken, most = Counter(), Counter(), Counter()
+    for source, n in size.values():
+        sums[source] += n
+        most[source] = max(most[source], n)
+    copies = Counter(r.doc_id for r in mixed.collect())
+    for i, n in copies.items():
+        taken[size[i][0]] += n * size[i][1]
+    assert max(copies.values()) <= 3 and all(abs(taken[s] - t) <= most[s] for s, t in plain_targets(sums).items())
+    exact = Tokenizer.from_file(pk.tokenizer_path())
+    want = {r.doc_id: np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, pk.END_ID], "<u4").tobytes() for r in mixed.distinct().collect()}
+    pieces, sequences = defaultdict(Counter), defaultdict(list)
+    for r in corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect():
+        pieces[r.doc_id][r.start, bytes(r.ids)] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert {i: b"".join(ids for _, ids in sorted(p)) for i, p in pieces.items()} == want
+    assert all(set(p.values()) == {copies[i]} for i, p in pieces.items())
+    for parts in sequences.values():
+        parts.sort()
+        ends = np.cumsum([n for _, n in parts])
+        assert [at for at, _ in parts] == [0, *ends[:-1]] and ends[-1] <= pk.CAPACITY
