@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from opstrail.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from opstrail.llm import (
+    conversation_repair,
+    fingerprints,
+    mixing,
+    packing,
+    periodic_runs,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_counts,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_simhash": simhash.op10_simhash,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_topk": topk.op12_topk,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -23,4 +40,5 @@ ORACLE = {
     "op3_pii": pii.ORACLE_OP3,
     "op4_mixing": mixing.ORACLE_OP4,
     "op5_substring_dedup": substring_dedup.ORACLE_OP5,
+    "op12_topk": topk.ORACLE_OP12,
 }
