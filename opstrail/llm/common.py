@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared work folder: lineage ends here, on disk."""
+    return kept(spark, df, label)[0]
+
+
+def kept(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stored`` with the folder's path, for those who remove it when they are done."""
     path = work_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def whole(text: Column) -> Column:

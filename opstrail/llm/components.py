@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opstrail.llm.common import stored
+from opstrail.llm.common import kept
+from opstrail.session import remove_folder
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +33,11 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     an executor is lost. Rounds go on until no link changes: about the logarithm of the
     longest chain.
     """
-    now = stored(spark, links.filter("a != b").select("a", "b").distinct(), "links")
+    now, path = kept(spark, links.filter("a != b").select("a", "b").distinct(), "links")
     mark = None
     while True:
-        now = stored(spark, _stars(_stars(now, True), False), "stars")
+        (now, path), old = kept(spark, _stars(_stars(now, True), False), "stars"), path
+        remove_folder(spark, old)  # one round's links are kept, not all
         seen = now.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"),

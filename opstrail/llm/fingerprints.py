@@ -7,6 +7,10 @@ average, after it two bits less, so chunk lengths gather around ``NORMAL``, betw
 texts share. A fingerprint is the set of chunk digests with their lengths; the likeness
 of one to another is the share of its bytes in chunks that the other has too:
 containment, weighted by length. Two empty texts are alike, an empty one and another not.
+
+A null text is empty. Texts are read whole; a task holds one text's hashes at a time. Repeated
+rows are neighbours of each other, an empty table gives no rows, other columns are not
+carried and may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ LEAST, NORMAL, MOST = 16, 64, 256
 STRICT, LOOSE = 8, 4
 #: Ids per block of neighbours; see ``with_next``.
 BLOCK_BITS = 8
+#: Rows a block may hold however few there are, and into how many parts an id's rows are dealt beyond.
+CROWD, MARK_BITS = 4096, 10
 #: Fixed value: the seed of the gear table, one random number per byte.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -101,16 +107,25 @@ def edit(text: str, after: str) -> str:
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, body and the next document's body, in descending order of doc_id.
 
-    Rows of one id, and rows without one, which come last, follow in order of text; the
-    last row is followed by the first. Ids are cut into blocks of 2 ** BLOCK_BITS. Texts are
-    shuffled once, by block, and meet their successor in it; only the first text of each
-    block is sent on, to the block before. Which block that is comes from the ids alone.
+    Rows of one id, and rows without one, which come last, follow in order of a hash of the
+    text; the last row is followed by the first. Rows are dealt into blocks of 2 **
+    BLOCK_BITS ids. A block that holds more than ``CROWD`` rows and a thousandth of all (rows
+    without id, an id that repeats) is dealt further, by id and by ranges of that hash. Texts
+    are shuffled once, by block, and meet their successor in it; only the first text of each
+    block is sent on, to the block before. Which block that is comes from ids and hashes alone.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).alias("body"))
+    rows = rows.withColumns({"wide": wide_block(F.col("doc_id")), "mark": F.xxhash64("body")})
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("block", block_of(F.col("doc_id"))).repartition(parts, "block")
-    ids = docs.select(block_of(F.col("doc_id").cast("bigint")).alias("block")).distinct()
-    order = F.col("doc_id").desc_nulls_last(), "body"
+    counts = docs.select(wide_block(F.col("doc_id").cast("bigint")).alias("wide")).groupBy("wide").agg(F.count("*").alias("n"))
+    counts = stored(spark, counts, "block-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Fewer than a thousand blocks can hold over a thousandth.
+    crowded = [r["wide"] for r in counts.filter(F.col("n") > max(CROWD, total // 1000)).collect()]
+    blocked = rows.withColumn("block", block_of(crowded))
+    dealt = blocked.drop("wide").repartition(parts, "block")
+    ids = blocked.select("block").distinct() if crowded else counts.select(block_of([]).alias("block"))
+    order = F.col("doc_id").desc_nulls_last(), "mark", "body"
     heads = (
         dealt.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy(*order)))
         .filter("n = 1")
@@ -123,11 +138,22 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "body", F.coalesce("later", "guest").alias("next"))
 
 
-def block_of(doc_id: Column) -> Column:
+def wide_block(doc_id: Column) -> Column:
     """The block of an id; rows without one have a block below all others."""
     return F.coalesce(F.shiftright(doc_id, BLOCK_BITS), F.lit(-(1 << 63)))
 
 
+def block_of(crowded: list[int]) -> Column:
+    """The block of a row by its wide block, and in ``crowded`` ones by id and the hash's first bits; later ones are less."""
+    none = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    plain = F.struct(F.col("wide").alias("wide"), none[0].alias("id"), none[1].alias("mark"))
+    if not crowded:
+        return plain
+    further = F.coalesce("doc_id", F.lit(0)).cast("bigint"), -F.shiftright("mark", 64 - MARK_BITS)
+    fine = F.struct(F.col("wide").alias("wide"), further[0].alias("id"), further[1].alias("mark"))
+    return F.when(F.col("wide").isin(crowded), fine).otherwise(plain)
+
+
 def followed(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     """block and follower, the block that comes next in descending order, the first after the last.
 

@@ -61,18 +61,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Ids:
     """Token ids of texts; the vocabulary file is read once per worker.
 
-    The file's own library sets what is right. Where its merges are plain byte pairs, the
-    same ids come several times faster from the same vocabulary read as ranks; whatever
-    that reader refuses goes back to the library.
+    The file's own library, as it comes, sets what is right: the string of an added token is
+    that token. Where the file's merges are plain byte pairs, texts without such a string get
+    the same ids several times faster from the same vocabulary read as ranks; a text on which
+    that reader's pattern engine runs out of stack goes to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True  # their strings in a text are text
         self.fast = None
-        ranks = self._ranks(path)
+        ranks, self.added = self._ranks(path)
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -80,28 +80,30 @@ class Ids:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
-    def _ranks(path: str) -> dict[bytes, int] | None:
-        """Bytes to id for a byte-level vocabulary without normalizer, else None."""
+    def _ranks(path: str) -> tuple[dict[bytes, int] | None, list[str]]:
+        """Bytes to id for a byte-level vocabulary without normalizer, else None; strings of added tokens."""
         import json
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-            return None
+            return None, []
         # The format writes a byte that prints as itself, any other as the next character from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown}
         letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t["content"] for t in spec.get("added_tokens", [])}
-        return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return ranks, sorted(special)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not any(x in text for x in self.added):
             try:
                 return np.array(self.fast.encode_ordinary(text), np.uint32)
-            except Exception:  # its pattern engine gives up on some very long runs
-                pass
+            except BaseException as fault:  # a panic of the reader's engine on a very long run is no Exception
+                if type(fault).__name__ != "PanicException":
+                    raise
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

@@ -1,6 +1,8 @@
 """Mixing, packing, token counts, classifiers and the pipeline."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,7 +91,6 @@ def test_packing_of_odd_rows(spark, odd, none, rows):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     want = Counter((i, bytes(np.array([*exact.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))) for i, t, *_ in rows)
     sequences = defaultdict(list)
     docs = defaultdict(list)
@@ -116,10 +117,14 @@ def test_packing_of_odd_rows(spark, odd, none, rows):
     assert pk.pack(spark, none).count() == 0
 
 
-def test_special_strings_are_text():
-    encode = pk.Ids(pk.tokenizer_path())
-    for text in ["<|endoftext|>", "a  b \n\n c", "x" * 5000, " " * 3000, "\U0001d4b3 ü"]:
-        assert encode(text).tolist() == encode.exact.encode(text, add_special_tokens=False).ids
+def test_ids_like_the_unchanged_library():
+    from tokenizers import Tokenizer
+
+    encode, exact = pk.Ids(pk.tokenizer_path()), Tokenizer.from_file(pk.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a  b \n\n c", "x" * 5000, " " * 400_000 + "a", "\U0001d4b3 ü"]
+    for text in texts:
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert encode(texts[0]).tolist() == [64, 220, 50256, 275]
 
 
 def plain_count(word, pieces, byte):
@@ -186,10 +191,81 @@ def test_classifiers_on_odd_rows(spark, odd, none, rows):
             for module in (tx, qc):
                 got = module.score(docs, module.train(docs, held)).collect()
                 assert len(got) == n and all(0 <= r.score <= 1 for r in got)
-    kept = tx.reject_toxic(odd, ({}, -5.0), 0.3)
+    kept = tx.reject_toxic(odd, tx.Model({"nothing": 9.0}, -5.0, True), 0.3)
     assert kept.columns == odd.columns and kept.count() == len(rows)
 
 
+def labelled(spark, n, toxic, seed=4):
+    """Documents of common words, labelled; ``toxic`` gives label and further words of a row."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        label, more = toxic(i, rng)
+        rows.append((i, " ".join([*(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(8)), *more]), label))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic").filter("toxic IS NOT NULL")
+
+
+@pytest.mark.parametrize(
+    "n,toxic",
+    [
+        (200, lambda i, rng: (None, [])),
+        (30, lambda i, rng: (i % 2, [])),
+        (200, lambda i, rng: (1, ["scum"])),
+        (200, lambda i, rng: (0, [])),
+        (600, lambda i, rng: (int(rng.random() < 0.5), [f"w{rng.randrange(200)}"])),  # noise, with chance features
+        (20, lambda i, rng: (i % 2, ["scum"] * (i % 2))),  # too few to be sure
+    ],
+    ids=["none", "few", "toxic", "clean", "noise", "twenty"],
+)
+def test_nothing_goes_without_a_certified_model(spark, n, toxic):
+    docs, labels = labelled(spark, n, toxic)
+    model = tx.train(docs, labels)
+    assert not model.certified and tx.reject_toxic(docs, model, tx.THRESHOLD).count() == n
+
+
+def test_certified_model_drops_what_it_knows(spark):
+    docs, labels = labelled(spark, 400, lambda i, rng: (int(i % 2 == 0), ["scum", "vile"] if i % 2 == 0 else []))
+    model = tx.train(docs, labels)
+    more = docs.unionByName(spark.createDataFrame([(1000, ""), (1001, None), (1002, "unheard of words")], docs.schema))
+    kept = {r.doc_id for r in tx.reject_toxic(more, model, tx.THRESHOLD).collect()}
+    assert model.certified and kept == {i for i in range(400) if i % 2} | {1000, 1001, 1002}
+
+
+def test_chance_of_at_least():
+    assert tx.at_least(0, 5, 0.2) == 1 and tx.at_least(3, 3, 0.5) == pytest.approx(0.125) and tx.at_least(1, 4, 0.0) == 0
+    assert tx.at_least(2, 10, 0.1) == pytest.approx(1 - 0.9**10 - 10 * 0.1 * 0.9**9)
+
+
+def plain_features(text):
+    words = set(re.findall(r"\w+", text.lower()))
+    return words | {"^" + w[:5] for w in words if len(w) > 5}
+
+
+def test_toxicity_score_like_plain_sum(spark, odd, rows):
+    docs, labels = labelled(spark, 300, lambda i, rng: (int(i % 3 == 0), ["scum"] if i % 3 == 0 else ["women"]))
+    model = tx.train(docs, labels)
+    assert model.weights
+    for df, texts in ((docs, {r.doc_id: r.text for r in docs.collect()}), (odd.filter("doc_id < 106"), {i: t for i, t, *_ in rows if i is not None and i < 106})):
+        got = {r.doc_id: r.score for r in tx.score(df, model).collect()}
+        want = {i: 1 / (1 + math.exp(-model.bias - sum(w for f, w in model.weights.items() if f in plain_features(t or "")))) for i, t in texts.items()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_a_repeated_id_is_one_row_of_the_fit(spark, monkeypatch):
+    docs, labels = labelled(spark, 40, lambda i, rng: (i % 2, []))
+    many = docs.unionByName(docs.crossJoin(spark.range(50).select(F.col("id").alias("n"))).drop("n"))
+    seen = []
+    monkeypatch.setattr(tx, "fit", lambda rows, balance: (seen.append(rows.count()), ({}, 0.0))[1])
+    tx.train(many, labels, most=5)
+    rated = qc.rate_all(many)
+    assert seen[0] == 5
+    fitted = []
+    monkeypatch.setattr(qc, "fit_pu", lambda pos, *a: (fitted.append(len(pos)), np.zeros(qc.N_RATES * qc.BINS + 1))[1])
+    qc.train_rated(rated, labels.withColumnRenamed("toxic", "quality"), most=5)
+    assert fitted[-1] == 5
+
+
 def test_counterfactual_penalty(spark):
     rng = random.Random(2)
     rows = []
@@ -218,8 +294,72 @@ def test_prior_of_a_known_mixture():
     def draw(n, top):
         return cells + rng.integers(0, qc.BINS, (n, qc.N_RATES)) // (1 if top else 3)
 
-    pos, unl = draw(4000, False), np.concatenate([draw(2400, False), draw(1600, True)])
-    assert qc.estimate_prior(pos, rng.permutation(unl)) == pytest.approx(0.6, abs=0.08)
+    pos, unl = draw(4000, False), rng.permutation(np.concatenate([draw(2400, False), draw(1600, True)]))
+    w = qc.fit_pu(pos[::2], unl[::2], 0.5)
+    own, all_ = qc.value(w, pos[1::2]), qc.value(w, unl[1::2])
+    cuts = np.quantile(own, qc.LEVELS)
+    found = qc.prior_of(qc.reached(own, cuts) / len(own), qc.reached(all_, cuts) / len(all_), len(own), len(all_))
+    assert found == pytest.approx(0.6, abs=0.08)
+
+
+def plain_pu_risk(w, pos, unl, weight, prior):
+    g = lambda row: w[-1] + sum(w[c] for c in row)
+    plus = sum(math.log1p(math.exp(-g(r))) for r in pos) / len(pos)
+    minus = sum(math.log1p(math.exp(g(r))) for r in pos) / len(pos)
+    rest = sum(x * math.log1p(math.exp(g(r))) for r, x in zip(unl, weight, strict=True)) / sum(weight)
+    return prior * plus + max(0.0, rest - prior * minus)
+
+
+def test_fit_lowers_the_plain_risk():
+    rng = np.random.default_rng(4)
+    cells = np.arange(qc.N_RATES) * qc.BINS
+    pos, unl = cells + rng.integers(0, 5, (300, qc.N_RATES)), cells + rng.integers(0, 9, (400, qc.N_RATES))
+    weight = rng.random(400) + 0.5
+    w = qc.fit_pu(pos, unl, 0.4, weight)
+    start = np.append(np.zeros(qc.N_RATES * qc.BINS), np.log(0.4 / 0.6))
+    best = plain_pu_risk(w, pos, unl, weight, 0.4)
+    assert best < 0.3 * plain_pu_risk(start, pos, unl, weight, 0.4)
+    # Weights are counts: a row of weight 2 is two rows.
+    twice = np.concatenate([unl, unl[:50]])
+    heavy = np.append(np.full(50, 2.0), np.ones(350))
+    assert plain_pu_risk(w, pos, twice, np.ones(450), 0.4) == pytest.approx(plain_pu_risk(w, pos, unl, heavy, 0.4))
+
+
+def test_quality_score_like_plain_cells(spark):
+    """Scores from rates, cuts and weights, one by one; cuts from plain sorting of all rates."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bins, w, prior = qc.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    made = {i: qc.rates(t) for i, t in texts.items()}
+    for i, cuts in enumerate(bins.cuts):
+        column = sorted(r[i] for r in made.values())
+        at = [column[max(math.ceil(q * len(column) - 1e-9) - 1, 0)] for q in qc.CUTS]
+        want = sorted(set(at))
+        # A cut is the upper end of a bucket: no less than the quantile, and 1 in 256 more at most.
+        assert all(any(x <= c <= x * (1 + 2**-8) + 1e-300 for c in cuts) for x in want)
+        cells = [sum(c < v for c in cuts) for v in column]
+        assert [bins.held[i * qc.BINS + b] for b in range(qc.BINS)] == [cells.count(b) for b in range(qc.BINS)]
+    got = {r.doc_id: r.score for r in qc.score(docs, (bins, w, prior)).collect()}
+    for i, r in made.items():
+        g = w[-1] + sum(w[j * qc.BINS + sum(c < v for c in bins.cuts[j])] for j, v in enumerate(r))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, g)))))
+
+
+def test_junk_of_one_in_fifty_thousand(spark):
+    """A kind of text that one document in 50,000 has sets a cut, and is in the sample with its true weight."""
+    n = 50_000
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(500 + k)).cast("string")) for k in range(12)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 31_415, F.lit("| ! " * 40)).otherwise(text).alias("text"))
+    rated = qc.rate_all(docs)
+    bins = qc.bins_of(rated)
+    junk = np.array([qc.rates("| ! " * 40)])
+    place = qc.rates("").__len__() and [i for i in range(qc.N_RATES) if bins.held[bins(junk)[0, i]] == 1]
+    assert len(place) >= 3 and bins.stratum(bins(junk))[0] == 15
+    rows, _, weight = qc.draw(rated, bins, 3_000)
+    mine = (rows == junk).all(axis=1)
+    assert mine.sum() == 1 and weight[mine] == pytest.approx(1.0) and weight.sum() == pytest.approx(n) and len(rows) < 4_000
 
 
 def test_stages_on_odd_rows(spark, odd, none, tmp_path, rows):
