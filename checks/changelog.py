@@ -9,7 +9,7 @@ from opstrail.functions import base_name, dir_name, glob_match, instant, relativ
 from opstrail.operators import changelog as ops
 from opstrail.plans.restore import restore_job
 from opstrail.session import work_dir
-from opstrail.sources import read_changelog, read_dump_lines
+from opstrail.sources import read_changelog, read_dump_heads
 from opstrail.streaming import compact_parts, read_applied, stream_apply
 
 START_SEQ, START_POS = 5, 30_050
@@ -77,7 +77,7 @@ def replay_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dump_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_dump_lines(spark, inputs.dump_files(spark, sf_dir), recursive=True)
+    lines = read_dump_heads(spark, inputs.dump_files(spark, sf_dir), ops.COORDINATES, recursive=True)
     found = ops.dump_coordinates(lines)
     dump = F.regexp_extract("file", "dump=([0-9]*)", 1).cast("long")
     return found.select(dump.alias("dump"), "log_file", "log_pos")

@@ -65,15 +65,20 @@ def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of all lines, cut where they are scanned; counted, as cuts follow the scan."""
+    """Statements of all lines, cut where they are scanned, split back into rows: an order-free digest of those by return flag."""
     lines = inputs.table(spark, sf_dir, "lineitem")
+    head = literals.insert_head(lines, "lineitem")
     statements = literals.insert_statements(lines, "lineitem", batch_rows=BATCH)
-    return statements.agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.max(F.col("n_rows") <= BATCH).alias("within"),
-        F.bool_and(F.col("statement").startswith("INSERT INTO `lineitem` (`l_orderkey`, ")).alias("headed"),
-        F.sum(F.length("statement") - F.length(F.replace("statement", F.lit("),("), F.lit("")))).alias("joints"),
-    ).select("n_rows", "within", "headed", (F.col("joints") > 0).alias("joined"))
+    inside = F.substring("statement", len(head) + 2, F.length("statement") - F.lit(len(head) + 3))
+    rows = statements.select(
+        (F.col("statement").startswith(head + "(") & F.col("statement").endswith(");") & (F.col("n_rows") <= BATCH)).alias("formed"),
+        "n_rows",
+        F.split(inside, r"\),\(").alias("rows"),
+    ).select((F.col("formed") & (F.size("rows") == F.col("n_rows"))).alias("formed"), F.explode("rows").alias("row"))
+    digest = F.conv(F.substring(F.md5(F.col("row").cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return rows.groupBy(F.substring(F.md5(F.col("row").cast("binary")), 13, 1).alias("part")).agg(
+        F.count("*").alias("n_rows"), F.bool_and("formed").alias("formed"), F.sum(digest.cast("decimal(38,0)")).cast("string").alias("digest")
+    )
 
 
 def _views(spark: SparkSession, sf_dir: str) -> str:
@@ -190,8 +195,16 @@ def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices and small shares of them as float literals."""
     value = F.col("l_extendedprice") / F.pow(F.lit(10.0), F.col("l_linenumber") + F.lit(4))
     half = (F.col("l_orderkey") * 2 + 1) / F.lit(2000000.0)
+    price = F.col("l_extendedprice")
+    columns = {
+        "small": value,
+        "tie": -half,
+        "quarter": 1e15 + F.col("l_orderkey") * 0.25,
+        "wide": price * 2.0**40,
+        "huge": -price * 2.0**70 * F.col("l_orderkey"),
+    }
     return inputs.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", sql_float(value).alias("small"), sql_float(-half).alias("tie")
+        "l_orderkey", "l_linenumber", *[sql_float(x).alias(n) for n, x in columns.items()]
     )
 
 
@@ -256,6 +269,11 @@ ROWS = {
         digits_sql("p_size"), float_sql("p_retailprice"),
     ),
 }
+LINE_ROW = "(" + tuple_sql(
+    digits_sql("l_orderkey"), digits_sql("l_partkey"), digits_sql("l_suppkey"), digits_sql("l_linenumber"),
+    float_sql("l_quantity"), float_sql("l_extendedprice"), float_sql("l_discount"), float_sql("l_tax"),
+    text_sql("l_returnflag"), text_sql("l_linestatus"), stamp_sql("l_shipdate"),
+) + ")[2:-2]"
 KINDS = {"INTEGER": "INT", "BIGINT": "BIGINT", "VARCHAR": "LONGTEXT", "DOUBLE": "DOUBLE", "TIMESTAMP": "DATETIME(6)"}
 COLUMNS = {
     "nation": ("n_nationkey INTEGER", "n_name VARCHAR", "n_regionkey INTEGER"),
@@ -354,8 +372,9 @@ ORACLE = {
         f"SELECT '{t}' AS table_name, {row} AS row_sql FROM {t}" for t, row in LITERALS.items()
     ),
     "insert_statements": _insert_sql("orders", "orders"),
-    "insert_unordered": """SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS within, true AS headed,
-      true AS joined FROM lineitem""",
+    "insert_unordered": f"""WITH r AS (SELECT md5({LINE_ROW}) AS m FROM lineitem)
+      SELECT m[13:13] AS part, count(*) AS n_rows, true AS formed,
+        CAST(sum(CAST('0x' || m[1:12] AS BIGINT)) AS VARCHAR) AS digest FROM r GROUP BY 1""",
     "export_sql_script": _script_sql(),
     "export_fanout": FANOUT,
     "export_batch": " UNION ALL ".join(
@@ -379,7 +398,10 @@ ORACLE = {
           || chr(39) || ')', ',' ORDER BY big) || ';') AS digest FROM n GROUP BY batch""",
     "float_text": """SELECT l_orderkey, l_linenumber,
       printf('%.6f', l_extendedprice / pow(10.0, l_linenumber + 4)) AS small,
-      printf('%.6f', -((l_orderkey * 2 + 1) / 2000000.0::DOUBLE)) AS tie FROM lineitem""",
+      printf('%.6f', -((l_orderkey * 2 + 1) / 2000000.0::DOUBLE)) AS tie,
+      printf('%.6f', 1e15::DOUBLE + l_orderkey * 0.25::DOUBLE) AS quarter,
+      printf('%.6f', l_extendedprice * pow(2.0, 40)) AS wide,
+      printf('%.6f', -l_extendedprice * pow(2.0, 70) * l_orderkey) AS huge FROM lineitem""",
     "result_text": f"""WITH {TEXT_RESULTS} SELECT event_id,
         CASE WHEN ok THEN j || ' succeeded, it took ' || d
           ELSE j || ' failed, it took ' || d || ' with error: ' || e END AS text,

@@ -127,10 +127,13 @@ def insert_statements(
     table: str,
     batch_rows: int = 1000,
     batch_by: tuple[str, int] | None = None,
+    batch_bytes: int = 16 << 20,
     **literal_options,
 ) -> DataFrame:
     """INSERT statements of at most ``batch_rows`` rows: ``(batch, statement, n_rows)``.
 
+    A statement's rows take ``batch_bytes`` at most, unless a single row is longer.
+
     Rows are joined inside the partitions they are scanned in, without a
     shuffle; ``batch`` is then the partition. With ``batch_by=(column, width)``
     a statement holds the rows of one range of an integer key, in key order,
@@ -150,7 +153,7 @@ def insert_statements(
         rows = rows.repartition("batch").sortWithinPartitions("batch", "row_key", "row_sql")
         rows = rows.select("batch", "row_sql")
     return rows.mapInArrow(
-        tasks.join_rows(insert_head(df, table), batch_rows),
+        tasks.join_rows(insert_head(df, table), batch_rows, batch_bytes),
         "batch long, statement string, n_rows long",
     )
 

@@ -375,7 +375,7 @@ def slowest_overall(records: DataFrame) -> DataFrame:
 
 
 def file_status(groups: DataFrame) -> DataFrame:
-    """``(file, ok, error, n_records)`` per file with at least one record.
+    """``(file, ok, error, n_records)`` per file, also without a record: its empty piece counts as text before one.
 
     Text before the first record fails nothing: a ``lead`` record is an error
     only if another record of the file comes before it. ``error`` is the
@@ -409,16 +409,6 @@ def file_status(groups: DataFrame) -> DataFrame:
     )
 
 
-def with_idle_files(status: DataFrame, files: DataFrame) -> DataFrame:
-    """``status`` with a row for each of ``files`` (file) that has no record: nothing is wrong with it."""
-    return files.join(status, "file", "full_outer").select(
-        "file",
-        F.coalesce("ok", F.lit(True)).alias("ok"),
-        F.coalesce("error", F.lit("")).alias("error"),
-        F.coalesce("n_records", F.lit(0)).cast("long").alias("n_records"),
-    )
-
-
 def overall_status(status: DataFrame) -> DataFrame:
     """One row ``(ok, error)``: errors of all failed files joined in file order.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opstrail.functions.paths import base_name, log_number
 from opstrail.operators import changelog as ops
 from opstrail.session import work_dir
-from opstrail.sources.dumpfile import read_dump_lines
+from opstrail.sources.dumpfile import read_dump_heads
 
 
 class Restore(NamedTuple):
@@ -24,11 +24,11 @@ class Restore(NamedTuple):
 def start_of(spark: SparkSession, dump) -> DataFrame:
     """``(log_file, log_seq, log_pos)`` a dump was taken at, one row.
 
-    The dump is read once; the row is kept as a table, since several steps
+    The dump is read up to its coordinates; the row is kept as a table, since several steps
     use it. A dump without coordinates, or with a position that is out of
     range, raises here.
     """
-    at = ops.one_coordinate(read_dump_lines(spark, dump)).select(
+    at = ops.one_coordinate(read_dump_heads(spark, dump, ops.COORDINATES)).select(
         "log_file", log_number(base_name(F.col("log_file"))).alias("log_seq"), "log_pos"
     )
     path = f"{work_dir(spark, 'restore')}/start"

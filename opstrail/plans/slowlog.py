@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opstrail.errors import error_text
 from opstrail.functions.text import json_text
 from opstrail.operators import slowlog as ops
-from opstrail.sources.files import scanned_files
-from opstrail.sources.slowlog import read_slowlog
+from opstrail.sources.slowlog import scan_slowlog
 
 REPORT_COLUMNS = ops.RECORD_FIELDS
 
@@ -56,19 +55,16 @@ def slow_report(
     over one scan. A file without records has a status row too.
     """
     parse = parser_for(engine)
-    raw = read_slowlog(spark, paths, pattern, recursive)
+    raw, n_files = scan_slowlog(spark, paths, pattern, recursive)
     groups = ops.slowest_groups(parse(raw, mask=mask, split_blocks=split_blocks))
     status = ops.file_status(groups)
-    names = scanned_files(spark, raw, paths, pattern)
-    records = ops.apply_error_policy(
-        ops.slowest_per_query(groups), status, on_error, n_files=len(raw.inputFiles())
-    )
+    records = ops.apply_error_policy(ops.slowest_per_query(groups), status, on_error, n_files=n_files)
     if dedup == "global":
         records = ops.slowest_overall(records)
     elif dedup != "file":
         raise ValueError(f"unknown dedup scope: {dedup}")
     ordered = ops.top_slowest(records, limit)
-    return SlowReport(ordered.select("file", *REPORT_COLUMNS), ops.with_idle_files(status, names))
+    return SlowReport(ordered.select("file", *REPORT_COLUMNS), status)
 
 
 def slowlog_json(report: SlowReport, limit: int) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opstrail import tasks
 from opstrail.functions.paths import base_name, glob_to_regex, relative_key
-
-# Name endings for which Spark picks a decompressor by itself.
-CODEC_ENDINGS = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
-
+from opstrail.sources import lines
 
 def as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
@@ -101,21 +100,40 @@ def list_prefix(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     )
 
 
-def sniffed(files: DataFrame) -> DataFrame:
-    """``(uri, is_gzip)`` by the first two bytes of each file, read on executors."""
-    return files.select("uri", "path").mapInArrow(
-        tasks.sniff_files, "uri string, is_gzip boolean"
-    )
+#: Path schemes that tasks open by themselves; others are left to Spark's text source.
+REACHED = ("", "file", "s3", "s3a", "gs", "hdfs")
 
 
-def scanned_files(spark: SparkSession, scan: DataFrame, paths, pattern: str = "") -> DataFrame:
-    """``(file)``: what a scan of ``read_lines`` was planned over, from its own file index."""
-    uris = {re.sub("^file:/+", "file:/", name) for name in scan.inputFiles()}
-    files = spark.createDataFrame([(u,) for u in sorted(uris)], "file string")
-    if pattern:
-        path = decoded(F.col("file"))
-        files = files.where(name_filter(pattern, base_name(path), path, as_list(paths)))
-    return files
+def existing(spark: SparkSession, paths) -> list[str]:
+    """Paths with wildcards resolved; one that does not exist is an error, as for Spark's own scans."""
+    out = []
+    for path in as_list(paths):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(hadoop):
+            out.append(path)
+            continue
+        found = fs.globStatus(hadoop) or []
+        if not len(found):
+            raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {path}.")
+        out += [x.getPath().toString() for x in found]
+    return out
+
+
+def _bytes_conf(spark: SparkSession, key: str, default: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, default))
+
+
+def split_sizes(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[int, int]:
+    """(bytes of a split, cost of opening a file) by the rule of Spark's own file scans."""
+    most = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", "128m")
+    cost = _bytes_conf(spark, "spark.sql.files.openCostInBytes", "4m")
+    each = sum(size + cost for _, size in files) // max(spark.sparkContext.defaultParallelism, 1)
+    return min(most, max(cost, each)), cost
+
+
+def _as_lines(pieces: DataFrame) -> DataFrame:
+    return pieces.select("file", "block_start", "row_id", F.col("bytes").cast("string").alias("value"), "scan_error")
 
 
 def read_lines(
@@ -128,68 +146,61 @@ def read_lines(
 ) -> DataFrame:
     """Text between separators as ``(file, block_start, row_id, value, scan_error)``.
 
-    Plain files go through the text source and are split within a file. Files
-    whose content is gzip, and files whose name promises a codec that Spark
-    would trust, are streamed in one task each. ``(block_start, row_id)`` is
-    the order inside a file. ``sniff=False`` trusts names and peeks at nothing.
+    Files are listed here, once; byte ranges of them are read in tasks, where the content
+    tells gzip. No Spark job runs before the result is asked for. A file that cannot be
+    read, because it went meanwhile, shrank or is corrupt, ends in a row with
+    ``scan_error``; an empty file is one empty piece. ``(block_start, row_id)`` is the
+    order inside a file.
+
+    This is the data source of ``sources.lines`` as an operator: Spark does not share an
+    exchange between two uses of a Python data source, and reports use a scan twice.
+    ``sniff=False``, and file systems that tasks cannot open, take Spark's own text source,
+    which trusts names.
     """
+    return scan_lines(spark, paths, separator, pattern, recursive, sniff)[0]
+
+
+def scan_lines(
+    spark: SparkSession, paths, separator: str, pattern: str = "", recursive: bool = False, sniff: bool = True
+) -> tuple[DataFrame, int | None]:
+    """``read_lines`` and the number of files it is planned over, where known."""
     paths = as_list(paths)
+    if not sniff or any(p.split(":", 1)[0] not in REACHED for p in paths if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", p)):
+        return _read_by_name(spark, paths, separator, pattern, recursive), None
+    files = tasks.list_inputs(found := existing(spark, paths), recursive)
+    if pattern:
+        named = tasks.name_test(glob_to_regex(pattern))
+        files = [(p, n) for p, n in files if p in found or named(p.rsplit("/", 1)[-1])]
+    parts = tasks.plan_ranges(files, *split_sizes(spark, files))
+    schema = "ranges array<struct<path: string, uri: string, start: bigint, stop: bigint, size: bigint>>"
+    # From one partition, a row each: every task gets one list of ranges.
+    dealt = spark.createDataFrame([(x,) for x in parts], schema).coalesce(1).repartition(max(1, len(parts)))
+    return _as_lines(dealt.mapInArrow(tasks.read_dealt(separator.encode()), lines.SCHEMA)), len(files)
+
+
+def first_lines(spark: SparkSession, paths, having: str, recursive: bool = False) -> DataFrame:
+    """The first line of each file in which a pattern is found, like ``read_lines``; the rest is not read."""
+    lines.register(spark)
+    options = {"paths": json.dumps(existing(spark, paths)), "recursive": str(recursive).lower(), "first": having}
+    return _as_lines(spark.read.format(lines.Lines.name()).options(**options).load())
+
+
+def _read_by_name(spark: SparkSession, paths: list[str], separator: str, pattern: str, recursive: bool) -> DataFrame:
+    """``read_lines`` by Spark's text source; a file that goes meanwhile fails the job."""
     meta_path = F.col("_metadata.file_path")
     plain = (
         spark.read.option("lineSep", separator)
-        # Files gone when sniffed go to the other branch; one that goes later must fail the job.
         .option("ignoreMissingFiles", "false")
         .option("recursiveFileLookup", str(recursive).lower())
         .text(paths)
     )
-    # The file index just built, as a table: one listing serves the scan and the sniffing.
-    uris = [re.sub("^file:/+", "file:/", name) for name in plain.inputFiles()]
-    width = max(1, min(len(uris), spark.sparkContext.defaultParallelism * 4))
-    uri = F.col("uri")
-    files = (
-        spark.createDataFrame([(u,) for u in uris], "uri string")
-        .repartition(width)
-        .select("uri", decoded(uri).alias("path"), base_name(decoded(uri)).alias("name"))
-    )
     if pattern:
         name = decoded(F.col("_metadata.file_name"))
         plain = plain.where(name_filter(pattern, name, decoded(meta_path), paths))
-        files = files.where(name_filter(pattern, F.col("name"), F.col("path"), paths))
-    by_name = F.lit(False)
-    for ending in CODEC_ENDINGS:
-        by_name = by_name | F.lower(base_name(decoded(uri))).endswith(ending)
-    if sniff:
-        routed = sniffed(files).where(F.col("is_gzip").isNull() | F.col("is_gzip") | by_name)
-    else:
-        routed = files.where(by_name).select(
-            "uri", F.lower(F.col("name")).endswith(".gz").alias("is_gzip")
-        )
-    # At most one row per file: the file index already holds as many names.
-    kinds = {row.uri: row.is_gzip for row in routed.collect()}
-    if kinds:
-        plain = plain.where(~meta_path.isin(list(kinds)))
-    plain = plain.select(
+    return plain.select(
         meta_path.alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row_id"),
         "value",
         F.lit(None).cast("string").alias("scan_error"),
     )
-    if not kinds:
-        return plain
-    streamed = (
-        spark.createDataFrame(list(kinds.items()), "uri string, is_gzip boolean")
-        .repartition(max(1, min(len(kinds), width)))
-        .select("uri", decoded(uri).alias("path"), "is_gzip")
-    )
-    pieces = streamed.mapInArrow(
-        tasks.read_pieces(separator.encode()),
-        "file string, row_id long, bytes binary, scan_error string",
-    ).select(
-        "file",
-        F.lit(0).cast("long").alias("block_start"),
-        "row_id",
-        F.col("bytes").cast("string").alias("value"),
-        "scan_error",
-    )
-    return plain.unionByName(pieces)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opstrail.sources.files import read_lines
+from opstrail.sources.files import read_lines, scan_lines
 
 # Fixed value: a line starting like this opens a record.
 RECORD_SEPARATOR = "\n# Time"
@@ -23,3 +23,8 @@ def read_slowlog(
     itself a file.
     """
     return read_lines(spark, paths, RECORD_SEPARATOR, pattern, recursive, sniff)
+
+
+def scan_slowlog(spark: SparkSession, paths, pattern: str = "", recursive: bool = False) -> tuple[DataFrame, int | None]:
+    """``read_slowlog`` and the number of files it is planned over, where known."""
+    return scan_lines(spark, paths, RECORD_SEPARATOR, pattern, recursive)

@@ -10,12 +10,16 @@ from __future__ import annotations
 import contextlib
 import gzip
 import hashlib
+import io
 import os
+import re
 import sys
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -96,15 +100,6 @@ def is_gzip_file(path):
         return None
 
 
-def sniff_files(batches):
-    """path → whether the content starts with the gzip magic, null if unreadable."""
-    for batch in batches:
-        flags = [is_gzip_file(path) for path in batch.column("path").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("uri"), pa.array(flags, pa.bool_())], names=["uri", "is_gzip"]
-        )
-
-
 def split_stream(source, separator):
     """Pieces of a byte stream between separators, holding one piece at a time."""
     held = bytearray()
@@ -181,6 +176,219 @@ def read_pieces(separator):
     return run
 
 
+class CountedReads:
+    """A file opened for reading from ``start`` on; ``taken`` counts bytes asked for."""
+
+    taken = 0
+
+    def __init__(self, path, start=0):
+        local = _local(path)
+        if local is not None:
+            self.file = open(local, "rb", buffering=0)
+        else:
+            fs, inner = _remote(path)
+            self.file = fs.open_input_file(inner)
+        if start:
+            self.file.seek(start)
+
+    def read(self, n=CHUNK):
+        block = self.file.read(n)
+        CountedReads.taken += len(block)
+        return block
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+
+class Ranged:
+    """``source`` up to position ``size``, beyond which a growing file is not read."""
+
+    def __init__(self, source, at, size):
+        self.source, self.at, self.size = source, at, size
+
+    def read(self, n=CHUNK):
+        block = self.source.read(min(n, self.size - self.at)) if self.at < self.size else b""
+        if not block and self.at < self.size:
+            raise OSError(f"file shrank by {self.size - self.at} bytes while read")
+        self.at += len(block)
+        return block
+
+
+def pieces_from(source, start, end, separator):
+    """The pieces of a plain file that begin in [start, end); ``source`` stands at ``start``, or for
+    a later start one separator before it. A piece is read to its end, wherever that is."""
+    held, at, open_ = bytearray(), start, start == 0
+    at -= 0 if open_ else min(start, len(separator))
+    while True:
+        block = source.read(CHUNK)
+        if not block:
+            break
+        look = max(0, len(held) - len(separator) + 1)
+        held += block
+        cut, done = held.find(separator, look), 0
+        while cut >= 0:
+            if open_:
+                yield bytes(held[done:cut])
+            done = cut + len(separator)
+            open_ = True
+            if at + done >= end:  # the next piece is the next range's
+                return
+            cut = held.find(separator, done)
+        if not open_:
+            done = max(done, len(held) - len(separator) + 1)
+        at += done
+        del held[:done]
+    if open_ and held:
+        yield bytes(held)
+
+
+def read_ranges(ranges, separator, first=None):
+    """Arrow batches of the pieces of (path, uri, start, end, size) ranges.
+
+    The first two bytes of a file tell gzip, which is streamed by its first range alone. A
+    file that cannot be read, at whatever time, ends in a row with ``scan_error``; an empty
+    one is one empty piece. ``first`` is a pattern: a file is left after the first piece that
+    has it, and only that piece is given.
+    """
+    rows, size = [], 0
+
+    def batch():
+        arrays = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(arrays, PIECES)], schema=PIECES)
+
+    for path, uri, start, end, length in ranges:
+        number = 0
+        try:
+            # Unzipped content may be longer or shorter than the file; a plain file is read as it was listed.
+            with CountedReads(path) as source:
+                kind = source.read(2)
+            if kind == GZIP_MAGIC and start:
+                continue
+            back = 0 if kind == GZIP_MAGIC else max(0, start - len(separator))
+            with CountedReads(path, back) as source:
+                if kind == GZIP_MAGIC:
+                    found = split_stream(gzip.GzipFile(fileobj=io.BufferedReader(_Raw(source), CHUNK)), separator)
+                else:
+                    found = pieces_from(Ranged(source, back, length), start, end, separator)
+                for piece in found:
+                    if first is None or first.search(piece):
+                        rows.append((uri, start, number, piece, None))
+                        size += len(piece)
+                    number += 1
+                    if size >= MAX_BATCH_BYTES or len(rows) >= MAX_BATCH_ROWS:
+                        yield batch()
+                        rows, size = [], 0
+                    if first is not None and rows and rows[-1][0] == uri:
+                        break
+            if not number and not start and first is None:
+                rows.append((uri, start, 0, b"", None))
+        except (EOFError, gzip.BadGzipFile, gzip.zlib.error, OSError) as problem:
+            unreadable = isinstance(problem, OSError) and not isinstance(problem, gzip.BadGzipFile)
+            rows.append((uri, start, number, b"", f"fail to read {'file' if unreadable else 'gzip file'}: {problem}"))
+    if rows:
+        yield batch()
+
+
+PIECES = pa.schema(
+    [("file", pa.string()), ("block_start", pa.int64()), ("row_id", pa.int64()), ("bytes", pa.binary()), ("scan_error", pa.string())]
+)
+
+
+class _Raw(io.RawIOBase):
+    """Counted reads as a raw stream, for buffering."""
+
+    def __init__(self, source):
+        self.source = source
+
+    def readable(self):
+        return True
+
+    def readinto(self, into):
+        block = self.source.read(len(into))
+        into[: len(block)] = block
+        return len(block)
+
+
+def read_dealt(separator):
+    """Task over rows with an array of ranges each."""
+
+    def run(batches):
+        for batch in batches:
+            for ranges in batch.column("ranges").to_pylist():
+                yield from read_ranges([tuple(r.values()) for r in ranges], separator)
+
+    return run
+
+
+def list_inputs(paths, recursive):
+    """(path, size) of every file at or below the paths, in order; names starting with _ or . are hidden."""
+    out = []
+    for path in paths:
+        local = _local(path)
+        if local is not None:
+            scheme = "file:" if path.startswith("file:") else ""
+            out += [(scheme + p, n) for p, n in _walk(local, recursive)]
+            continue
+        from pyarrow.fs import FileSelector, FileType
+
+        fs, inner = _remote(path)
+        info = fs.get_file_info(inner)
+        found = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(inner, recursive=recursive))
+        head = path[: len(path.rstrip("/")) - len(inner.rstrip("/"))]
+        below = len(inner.rstrip("/"))
+        shown = [x for x in found if x.type == FileType.File and (x is info or not re.search(r"(^|/)[_.]", x.path[below:].lstrip("/")))]
+        out += sorted((head + x.path, x.size) for x in shown)
+    return out
+
+
+def _walk(path, recursive):
+    if not os.path.isdir(path):
+        yield path, os.path.getsize(path)
+        return
+    for entry in sorted(os.scandir(path), key=lambda e: e.name):
+        if entry.name[0] in "_.":
+            continue
+        if entry.is_dir():
+            if recursive:
+                yield from _walk(entry.path, recursive)
+        else:
+            try:
+                yield entry.path, entry.stat().st_size
+            except OSError:
+                yield entry.path, 0  # opening it will tell
+
+
+def name_test(pattern):
+    """Test of names by a pattern as Spark takes it: code points and the end of text are written otherwise here."""
+    pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
+    return re.compile(pattern.replace(r"\z", r"\Z")).search
+
+
+def file_uri(path):
+    """A path as scan metadata shows it, percent-encoded."""
+    local = _local(path)
+    text = path if local is None else "file:" + os.path.abspath(local)
+    return re.sub(r"[^A-Za-z0-9\-_.!~'()*,;:$&+=@/\x80-\U0010ffff]", lambda m: f"%{ord(m[0]):02X}", text)
+
+
+def plan_ranges(files, split, cost):
+    """Lists of (path, uri, start, end, size) of about ``split`` bytes; a file counts ``cost`` more."""
+    parts, room = [], 0
+    for path, size in files:
+        uri = file_uri(path)
+        for start in range(0, max(size, 1), split):
+            end = min(start + split, size)
+            if not parts or end - start + cost > room:
+                parts.append([])
+                room = split
+            parts[-1].append((path, uri, start, max(end, start + 1), size))
+            room -= end - start + cost
+    return parts
+
+
 def digest_files(batches):
     """Adds ``sha256`` of the first ``length`` bytes of each file."""
     for batch in batches:
@@ -245,27 +453,42 @@ def copy_to(dest):
     return run
 
 
-def join_rows(head, batch_rows):
+def join_rows(head, batch_rows, batch_bytes):
     """Task that joins rendered rows into statements of at most ``batch_rows`` rows.
 
-    Rows carry ``batch``; a statement never spans two batches. Only the open
-    statement is held.
+    Rows carry ``batch``; a statement never spans two batches, and is closed before the
+    row that would take its rows beyond ``batch_bytes``, or after a longer row. Rows are
+    counted off by their lengths and joined as Arrow data; only the open statement is held.
     """
 
     def run(batches):
-        open_batch, rows = None, []
+        open_batch, pieces, n, size = None, [], 0, 0
         for batch in batches:
-            out = []
-            for key, text in zip(batch.column("batch").to_pylist(), batch.column("row_sql").to_pylist()):
-                if rows and (key != open_batch or len(rows) == batch_rows):
-                    out.append((open_batch, head + ",".join(rows) + ";", len(rows)))
-                    rows = []
-                open_batch = key
-                rows.append(text)
+            texts = batch.column("row_sql")
+            keys = batch.column("batch").to_numpy()
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+            edges = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+            out, at = [], 0
+            while at < len(keys):
+                begun = ends[at - 1] if at else 0
+                same = int(edges[np.searchsorted(edges, at, side="right")])
+                if n and keys[at] != open_batch:
+                    end = at
+                else:
+                    fits = int(np.searchsorted(ends, begun + batch_bytes - size, side="right"))
+                    end = min(same, at + batch_rows - n, max(fits, at if n else at + 1))
+                if end > at:
+                    pieces.append(pc.binary_join(pa.ListArray.from_arrays([0, end - at], texts.slice(at, end - at)), ",")[0].as_py())
+                    open_batch, n, size = keys[at], n + end - at, size + int(ends[end - 1] - begun)
+                    at = end
+                # What stops short of the rows at hand is full.
+                if at < len(keys) and n:
+                    out.append((open_batch, head + ",".join(pieces) + ";", n))
+                    pieces, n, size = [], 0, 0
             if out:
                 yield _statements(out)
-        if rows:
-            yield _statements([(open_batch, head + ",".join(rows) + ";", len(rows))])
+        if n:
+            yield _statements([(open_batch, head + ",".join(pieces) + ";", n)])
 
     return run
 

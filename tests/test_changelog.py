@@ -29,9 +29,9 @@ def stop(seconds):
 
 @pytest.mark.parametrize("word", ["MASTER", "SOURCE", "source"])
 def test_coordinates(spark, tmp_path, word):
-    text = f"-- dump\nCHANGE X TO {word}_LOG_FILE='mysql-bin.000003', {word}_LOG_POS=1638;\n"
-    (tmp_path / "d.sql").write_text(text + text.replace("1638", "9"))
-    assert tuple(ops.one_coordinate(read_dump_lines(spark, str(tmp_path))).first()) == ("mysql-bin.000003", 1638)
+    text = f"-- dump\nCHANGE X TO {word}_LOG_FILE='quay-log.000071', {word}_LOG_POS=90412;\n"
+    (tmp_path / "d.sql").write_text(text + text.replace("90412", "77"))
+    assert tuple(ops.one_coordinate(read_dump_lines(spark, str(tmp_path))).first()) == ("quay-log.000071", 90412)
 
 
 def test_no_coordinates(spark, tmp_path):
@@ -41,11 +41,11 @@ def test_no_coordinates(spark, tmp_path):
 
 
 def test_log_order(spark):
-    names = [f"mysqlbin.00000{i}" for i in range(10)] + ["mysqlbin.index"]
-    got = ops.log_sequence(listing(spark, names), "mysqlbin.000005").orderBy("log_seq").collect()
-    assert [r.name for r in got] == names[5:10]
-    with pytest.raises(Exception, match="current log mysqlbin.000042 not found"):
-        ops.log_sequence(listing(spark, names), "mysqlbin.000042").collect()
+    names = [f"tide.{i:04d}" for i in range(31, 53)] + ["tide.index"]
+    got = ops.log_sequence(listing(spark, names), "tide.0044").orderBy("log_seq").collect()
+    assert [r.name for r in got] == names[13:-1]
+    with pytest.raises(Exception, match="current log tide.0099 not found"):
+        ops.log_sequence(listing(spark, names), "tide.0099").collect()
     # Position 1 comes after 9, so numbers are compared, not names.
     got = ops.log_sequence(listing(spark, ["b.9", "b.10", "b.8"]), "b.9").orderBy("log_seq").collect()
     assert [r.name for r in got] == ["b.9", "b.10"]
@@ -62,17 +62,17 @@ def plan_of(spark, n, start, stop_at=None):
 @pytest.mark.parametrize(
     "n, stop_at, want",
     [
-        (1, 123, []),
-        (1, None, ["m.00001 --start-position=123"]),
-        (1, 140, ["m.00001 --start-position=123 --stop-position=140"]),
-        (4, None, ["m.00001 --start-position=123", "m.00002 m.00003", "m.00004"]),
-        (4, 140, ["m.00001 --start-position=123", "m.00002 m.00003", "m.00004 --stop-position=140"]),
-        (13, 140, ["m.00001 --start-position=123", " ".join(f"m.{i:05d}" for i in range(2, 12)), "m.00012",
-                   "m.00013 --stop-position=140"]),
+        (1, 4410, []),
+        (1, None, ["m.00001 --start-position=4410"]),
+        (1, 5821, ["m.00001 --start-position=4410 --stop-position=5821"]),
+        (3, None, ["m.00001 --start-position=4410", "m.00002", "m.00003"]),
+        (3, 5821, ["m.00001 --start-position=4410", "m.00002", "m.00003 --stop-position=5821"]),
+        (23, 5821, ["m.00001 --start-position=4410", " ".join(f"m.{i:05d}" for i in range(2, 12)),
+                    " ".join(f"m.{i:05d}" for i in range(12, 22)), "m.00022", "m.00023 --stop-position=5821"]),
     ],
 )
 def test_commands(spark, n, stop_at, want):
-    got = ops.replay_commands(plan_of(spark, n, 123, stop_at)).orderBy("batch_id").collect()
+    got = ops.replay_commands(plan_of(spark, n, 4410, stop_at)).orderBy("batch_id").collect()
     assert [r.command for r in got] == want
 
 

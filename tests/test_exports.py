@@ -1,4 +1,5 @@
 import random
+import struct
 from datetime import date, datetime, time
 from decimal import Decimal
 
@@ -169,10 +170,14 @@ def test_float_text_is_exact(spark):
     rng = random.Random(3)
     values = [0.0, -0.0, 5e-7, 1.5e-6, 2.5e-6, 0.0000005, 1e-300, 123456.7890125, -2.5e-6, 8999999999.0000005]
     values += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 9) for _ in range(3000)]
+    values += [1e15 + 0.25, 123456789012.123456, 2.0**70, 2.0**53, 2.0**53 - 1, 2.0**63, 2.0**124, 1.7976931348623157e308, -1e300, 5e-324]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(9, 307) for _ in range(1000)]
+    values += [struct.unpack("<d", rng.randbytes(7) + b"\x3f")[0] for _ in range(1000)]
     values += [(2 * rng.randint(0, 10**7) + 1) / 2e6 for _ in range(3000)] + [k / 128 for k in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "d double")
     got = [r.t for r in df.select(sql_float(F.col("d")).alias("t")).collect()]
     assert got == ["%.6f" % v for v in values]
+    assert df.limit(0).union(spark.createDataFrame([(None,)], "d double")).select(sql_float(F.col("d"))).first()[0] is None
     for strange in (float("nan"), float("inf")):
         with pytest.raises(Exception, match="no SQL literal for"):
             spark.createDataFrame([(strange,)], "d double").select(sql_float(F.col("d"))).collect()
@@ -214,3 +219,28 @@ def test_errors_are_whole(spark, tmp_path):
     error = export.run_exports(spark, [job]).first().error
     assert error.startswith("failed to store dump file ") and error.count(str(tmp_path / "file")) >= 2
     assert "calling o" not in error
+
+
+def test_statements_are_bounded(spark):
+    """By rows, by bytes and by batch, whatever the Arrow batches; a longer row is a statement of its own."""
+    rng = random.Random(9)
+    texts = ["x" * rng.choice([1, 5, 40, 300]) for _ in range(700)]
+    made = [f"({i},'{t}')" for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    try:
+        for rows, size, by in ((7, 1 << 20, ("k", 1000)), (1000, 120, ("k", 1000)), (4, 90, ("k", 10)), (1, 1, ("k", 50))):
+            got = literals.insert_statements(df, "t", rows, by, size).collect()
+            want, now, batch = [], [], None
+            for i, m in enumerate(made):
+                if now and (i // by[1] != batch or len(now) == rows or len(",".join([*now, m])) + 1 > size):
+                    want.append((batch, now))
+                    now = []
+                batch = i // by[1]
+                now.append(m)
+            want.append((batch, now))
+            head = "INSERT INTO `t` (`k`, `t`) VALUES "
+            key = lambda r: (r[0], int(r[1][len(head) + 1 :].split(",")[0]))
+            assert sorted(map(tuple, got), key=key) == [(b, head + ",".join(w) + ";", len(w)) for b, w in want]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
