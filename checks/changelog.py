@@ -9,7 +9,7 @@ from opstrail.functions import base_name, dir_name, glob_match, instant, relativ
 from opstrail.operators import changelog as ops
 from opstrail.plans.restore import restore_job
 from opstrail.session import work_dir
-from opstrail.sources import read_changelog, read_dump_heads
+from opstrail.sources import read_changelog, read_dump_heads, write_changelog
 from opstrail.streaming import compact_parts, read_applied, stream_apply
 
 START_SEQ, START_POS = 5, 30_050
@@ -54,6 +54,22 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
+def after_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after the coordinates that a dump names, from a log with a folder per number."""
+
+    def make(path: str) -> None:
+        write_changelog(inputs.binlog_events(spark, sf_dir), path)
+
+    events = read_changelog(spark, inputs.once(spark, sf_dir, "binlog-by-number", make))
+    dump = f"{work_dir(spark, 'dump')}/coordinates"
+    line = f"CHANGE MASTER TO MASTER_LOG_FILE='binlog.{START_SEQ:06d}', MASTER_LOG_POS={START_POS};"
+    spark.range(1).select(F.lit(line)).write.text(dump)
+    at = ops.one_coordinate(read_dump_heads(spark, dump, ops.COORDINATES))
+    seq = at.select(F.substring_index("log_file", ".", -1).cast("bigint")).scalar()
+    late = ops.after_start(events, seq, at.select("log_pos").scalar())
+    return late.select("log_file", "log_seq", "log_pos")
+
+
 def stop_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stop_coordinate(inputs.interleaved_events(spark, sf_dir), STOP)
 
@@ -140,6 +156,7 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "after_dump": after_dump,
     "log_sequence": log_sequence,
     "after_start": read_events,
     "stop_coordinate": stop_coordinate,
@@ -205,6 +222,8 @@ ORACLE = {
       SELECT name, '/var/lib/db.d' AS folder,
         CAST(regexp_extract(name, '[.]([0-9]+)$', 1) AS BIGINT) AS log_seq
       FROM logs WHERE seq >= 2""",
+    "after_dump": f"""SELECT {LOG_NAME} AS log_file, event_id // {PER_LOG} AS log_seq, (event_id + 1) * 100 AS log_pos FROM events
+      WHERE (event_id // {PER_LOG}, (event_id + 1) * 100) > ({START_SEQ}, {START_POS})""",
     "after_start": f"""SELECT {LOG_NAME} AS log_file, event_id // {PER_LOG} AS log_seq,
         (event_id + 1) * 100 AS log_pos, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at
       FROM events WHERE (event_id // {PER_LOG}, (event_id + 1) * 100) > ({START_SEQ}, {START_POS})""",

@@ -10,6 +10,7 @@ from opstrail.operators import literals
 from opstrail.operators.jobs import batch_outcome, result_text
 from opstrail.plans import export
 from opstrail.session import work_dir
+from opstrail.sources import tables
 
 NAMED_TABLES = ["nation", "orders", "part", "region"]
 BATCH = 500
@@ -81,6 +82,23 @@ def insert_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines under a key with nine tenths of its rows in a hundredth of its range, read range by range
+    as a database would be: what all ranges give together, and whether the largest is near the median."""
+    near = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.when(F.pmod(F.col("l_orderkey"), F.lit(10)) == 0, near * 1000).otherwise(near).alias("k"), "l_returnflag")
+    parts = None
+    for i, predicate in enumerate(tables.cut_predicates("k", tables.key_cuts(rows, "k", 32))):
+        part = rows.where(predicate).withColumn("part", F.lit(i).cast("bigint"))
+        parts = part if parts is None else parts.unionAll(part)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.median("n").alias("middle"))
+    return parts.groupBy("l_returnflag").agg(
+        F.count("*").alias("n_rows"),
+        F.sum("k").alias("keys"),
+    ).withColumn("balanced", sizes.select(F.col("most") < 2 * F.col("middle")).scalar())
+
+
 def _views(spark: SparkSession, sf_dir: str) -> str:
     for name in NAMED_TABLES:
         inputs.table(spark, sf_dir, name).createOrReplaceTempView(f"dump_{name}")
@@ -231,6 +249,7 @@ QUERIES = {
     "job_faults": faults,
     "insert_large_keys": large_keys,
     "float_text": float_text,
+    "key_ranges": key_ranges,
     "result_text": results_as_text,
 }
 
@@ -402,6 +421,9 @@ ORACLE = {
       printf('%.6f', 1e15::DOUBLE + l_orderkey * 0.25::DOUBLE) AS quarter,
       printf('%.6f', l_extendedprice * pow(2.0, 40)) AS wide,
       printf('%.6f', -l_extendedprice * pow(2.0, 70) * l_orderkey) AS huge FROM lineitem""",
+    "key_ranges": """SELECT l_returnflag, count(*) AS n_rows, CAST(sum((l_orderkey * 8 + l_linenumber)
+        * CASE WHEN l_orderkey % 10 = 0 THEN 1000 ELSE 1 END) AS BIGINT) AS keys, true AS balanced
+      FROM lineitem GROUP BY 1""",
     "result_text": f"""WITH {TEXT_RESULTS} SELECT event_id,
         CASE WHEN ok THEN j || ' succeeded, it took ' || d
           ELSE j || ' failed, it took ' || d || ' with error: ' || e END AS text,

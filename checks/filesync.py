@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import inputs
 from opstrail.functions import strip_semicolons, to_number, tokens, trim_ws
 from opstrail.operators import filesync as ops
+from opstrail.operators import known
 from opstrail.plans.filesync import mirror_prefix, sync_run
 from opstrail.session import work_dir
 from opstrail.sources import list_files
@@ -48,13 +49,21 @@ def sync_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.synced_files(hashed, hashed.where("doc_id % 2 = 0"))
 
 
+def known_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state filled in two runs by half of the documents, asked for all: what it holds, found by prefix and filter."""
+    hashed, state = _hashed(spark, sf_dir), work_dir(spark, "known")
+    for rest in (0, 2):
+        known.append_known(hashed.where(f"doc_id % 4 = {rest}"), state)
+    return known.known_among(spark, hashed, state)
+
+
 def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs over files and copies of them: all new, nothing new, all new after a reset."""
     source, run = inputs.doc_files(spark, sf_dir), work_dir(spark, "runs")
     runs = []
     for i in (1, 2, 3):
         if i == 3:
-            ops.reset_state(spark, f"{run}/state")
+            known.reset_known(spark, f"{run}/state")
         copied = sync_run(
             spark, source, f"{run}/dest", f"{run}/state", f"{run}/log-{i}", skip_ext=".index"
         )
@@ -74,7 +83,7 @@ def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 logged.select("ok").scalar().alias("ok"),
             )
         )
-    known = spark.read.parquet(f"{run}/state").agg(F.count_distinct("sha256").alias("n")).scalar()
+    known = known.read_known(spark, f"{run}/state").agg(F.count_distinct("sha256").alias("n")).scalar()
     return runs[0].unionAll(runs[1]).unionAll(runs[2]).withColumn("n_known", known)
 
 
@@ -160,6 +169,7 @@ QUERIES = {
     "file_fingerprint": file_fingerprint,
     "sync_pending": sync_pending,
     "sync_done": sync_done,
+    "known_hashes": known_hashes,
     "sync_run": sync_runs,
     "sync_recursive": sync_recursive,
     "run_log_rows": run_log_rows,
@@ -184,6 +194,7 @@ ORACLE = {
       WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""",
     "sync_done": """SELECT doc_id, sha256(text) AS sha256 FROM documents
       WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""",
+    "known_hashes": "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0",
     "sync_run": f"""WITH {BUCKETS},
       once AS (SELECT count(*) AS n, CAST(sum(strlen(body)) AS BIGINT) AS b
         FROM (SELECT DISTINCT body FROM buckets))

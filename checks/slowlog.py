@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import inputs
 from opstrail.functions import mask_literals
 from opstrail.operators import slowlog as ops
+from opstrail.operators.ranking import with_ordinal
 from opstrail.plans.slowlog import slow_report, slowlog_json, write_envelope
 from opstrail.sources import read_slowlog
 from opstrail.streaming import read_slow_table, stream_slowlog
@@ -79,12 +80,16 @@ def slowlog_envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = slow_report(spark, inputs.slow_logs(spark, sf_dir), mask=True, recursive=True)
     dest = work_dir(spark, "envelope")
     write_envelope(report, dest)
-    lines = spark.read.text([f"{dest}/2-first", f"{dest}/3-rest"])
+    lines = spark.read.text(f"{dest}/2-records").select(
+        "value", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long").alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    # Lines in order of part and line: times never grow, and the first line alone has no comma.
+    numbered = with_ordinal(lines, "part", "at").withColumn("led", F.col("value").startswith(","))
     row = report.records.drop("file").schema.simpleString()
-    parsed = lines.select(F.from_json(F.ltrim("value", F.lit(",")), row).alias("r"))
-    frame = spark.read.text([f"{dest}/1-head", f"{dest}/4-tail"])
+    parsed = numbered.select("ord", "led", F.from_json(F.ltrim("value", F.lit(",")), row).alias("r"))
+    frame = spark.read.text([f"{dest}/1-head", f"{dest}/3-tail"])
     whole = frame.agg(F.array_join(F.sort_array(F.collect_list("value"), False), "").alias("v")).scalar()
-    return parsed.select("r.*", whole.alias("frame"))
+    return parsed.select("ord", "led", "r.*", whole.alias("frame"))
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +200,7 @@ ORACLE = {
       FROM ({_slowest('masked', 'event_type, chunk, query', FILE_ORDER)})
       ORDER BY {GLOBAL_ORDER} LIMIT {TOP}""",
     "slowlog_envelope_lines": f"""WITH {KEPT}, {MASKED}
-      SELECT {FIELDS}, '{{"ok":true,"error":"","results":[]}}' AS frame
+      SELECT row_number() OVER (ORDER BY {GLOBAL_ORDER}) - 1 AS ord, row_number() OVER (ORDER BY {GLOBAL_ORDER}) > 1 AS led, {FIELDS}, '{{"ok":true,"error":"","results":[]}}' AS frame
       FROM ({_slowest('masked', 'event_type, chunk, query', FILE_ORDER)})""",
     "slowlog_file_status": f"""WITH {FAULTS}
       SELECT event_type, chunk, count(error) = 0 AS ok,

@@ -89,10 +89,12 @@ def after_start(events: DataFrame, log_seq: int | Column, log_pos: int | Column)
     """Events after the start coordinates.
 
     ``log_pos`` of an event is its end, so the first event wanted, which
-    begins at the start position, ends after it.
+    begins at the start position, ends after it. Where events lie in a folder per log
+    number, folders before the start's are not read, whether the start is a value or a
+    scalar subquery.
     """
-    return events.where(
-        (F.col("log_seq") > log_seq) | ((F.col("log_seq") == log_seq) & (F.col("log_pos") > log_pos))
+    return events.where(F.col("log_seq") >= log_seq).where(
+        (F.col("log_seq") > log_seq) | (F.col("log_pos") > log_pos)
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from opstrail import tasks
 from opstrail.functions import literals as lit
+from opstrail.sources.tables import range_of
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -126,7 +127,7 @@ def insert_statements(
     df: DataFrame,
     table: str,
     batch_rows: int = 1000,
-    batch_by: tuple[str, int] | None = None,
+    batch_by: tuple[str, int | list[int]] | None = None,
     batch_bytes: int = 16 << 20,
     **literal_options,
 ) -> DataFrame:
@@ -137,7 +138,8 @@ def insert_statements(
     Rows are joined inside the partitions they are scanned in, without a
     shuffle; ``batch`` is then the partition. With ``batch_by=(column, width)``
     a statement holds the rows of one range of an integer key, in key order,
-    which gives the same text on every run; the key should be unique. Either
+    which gives the same text on every run; the key should be unique. A list of
+    ``sources.key_cuts`` instead of a width makes ranges with as many rows each. Either
     way a task holds one open statement, however many rows share a batch.
     """
     rows = to_sql_literals(df, **literal_options)
@@ -146,7 +148,7 @@ def insert_statements(
     else:
         column, width = batch_by
         rows = rows.select(
-            _range_number(F.col(column), width).alias("batch"),
+            (range_of(F.col(column), width) if isinstance(width, list) else _range_number(F.col(column), width)).alias("batch"),
             F.col(column).alias("row_key"),
             "row_sql",
         )

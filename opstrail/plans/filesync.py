@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opstrail.operators import filesync as ops
+from opstrail.operators import known
 from opstrail.session import remove_folder, work_dir
 from opstrail.sources.files import list_files, list_prefix
 
@@ -47,7 +48,8 @@ def sync_run(
     """Copy files whose content is new, remember it, log the run; returns outcomes.
 
     The hashed listing and the copy outcomes are written tables, so each file
-    is hashed once and copied once whatever reads them afterwards. Of new
+    is hashed once and copied once whatever reads them afterwards. The state is asked by
+    prefix and filter, see ``operators.known``: a run reads what its files' hashes need. Of new
     files with equal content the one with the smallest path is copied.
     A recursive run keeps each file's path below ``source``, so files of one
     base name do not meet. ``checksum=False`` copies everything and leaves the
@@ -58,15 +60,16 @@ def sync_run(
     files = list_files(spark, source, pattern, skip_ext, recursive)
     if checksum:
         hashed = _written(ops.fingerprint(files), f"{run}/hashed")
-        new = ops.one_per_content(ops.pending_files(hashed, ops.read_state(spark, state)))
+        maybe = _written(known.maybe_known(spark, hashed, state), f"{run}/maybe")
+        new = ops.one_per_content(ops.pending_files(hashed, known.known_among(spark, hashed, state, maybe)))
         files = _spread(_written(new, f"{run}/new"))
     copied = _written(ops.copy_files(files, dest), f"{run}/copied")
     if checksum:
-        ops.append_state(copied.where("ok"), state)
+        known.append_known(copied.where("ok"), state)
     if log:
         ops.append_run_log(copied, log, run.rpartition("-")[2], now)
     if checksum:
-        for name in ("hashed", "new"):
+        for name in ("hashed", "maybe", "new"):
             remove_folder(spark, f"{run}/{name}")
     return copied
 

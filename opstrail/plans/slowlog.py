@@ -112,18 +112,23 @@ def slow_envelope(spark: SparkSession, paths, limit: int, **options) -> DataFram
 
 def write_envelope(report: SlowReport, dest: str) -> None:
     """The envelope of a report of any size as lines below ``dest``: in order of part and
-    line they are one JSON document. No cell holds more than one record, or the errors."""
+    line they are one JSON document. No cell holds more than one record, or the errors.
+
+    Records are sorted in ranges, and each range writes its own lines: all begin with a
+    comma but the very first row of the first range, which is never empty unless all are.
+    """
     row = F.to_json(F.struct(*REPORT_COLUMNS), {"ignoreNullFields": "false"})
     error = F.to_json(F.struct("error"))
     head = F.concat(
         F.lit('{"ok":'), F.col("ok").cast("string"), F.lit(","),
         F.substr(error, F.lit(2), F.length(error) - 2), F.lit(',"results":['),
     )
+    # Rows are numbered after the sort: only the first row of the first range has number 0.
+    first = F.monotonically_increasing_id() == 0
     parts = {
         "1-head": ops.overall_status(report.status).select(head.alias("value")),
-        "2-first": report.records.limit(1).select(row.alias("value")),
-        "3-rest": report.records.offset(1).select(F.concat(F.lit(","), row).alias("value")),
-        "4-tail": report.records.sparkSession.range(1).select(F.lit("]}").alias("value")),
+        "2-records": report.records.select(F.concat(F.when(first, "").otherwise(","), row).alias("value")),
+        "3-tail": report.records.sparkSession.range(1).select(F.lit("]}").alias("value")),
     }
     for name, lines in parts.items():
         lines.write.mode("overwrite").text(f"{dest}/{name}")

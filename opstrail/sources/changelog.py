@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opstrail import tasks
 from opstrail.functions.paths import base_name, log_number
 
 
-def read_changelog(spark: SparkSession, paths, fmt: str = "parquet", schema=None) -> DataFrame:
+def write_changelog(events: DataFrame, path: str) -> None:
+    """Events with a folder per log number, so that a start coordinate leaves earlier folders unread."""
+    rows = events if "log_seq" in events.columns else events.withColumn("log_seq", log_number(base_name(F.col("log_file"))))
+    # A number's events are spread over tasks, as one log may hold most of them.
+    rows.repartition(F.col("log_seq"), F.pmod(F.col("log_pos"), F.lit(8))).write.partitionBy("log_seq").parquet(path)
+
+
+def later_logs(spark: SparkSession, paths, start: str) -> list[str]:
+    """The files of a folder of logs from log ``start`` on, by number; files without one are left out.
+
+    Their list is made before any is opened: earlier ones take no part in the plan."""
+    least = _number(start)
+    found = tasks.list_inputs([paths] if isinstance(paths, str) else list(paths), False)
+    kept = [p for p, _ in found if _number(p) >= max(least, 1)]
+    if not kept:
+        raise ValueError(f"no log from {start} on in {paths}")
+    return kept
+
+
+def _number(name: str) -> int:
+    """``functions.log_number`` of a name at hand, before an ending such as ``.parquet``."""
+    base = name.rsplit("/", 1)[-1].removesuffix(".parquet").removesuffix(".json")
+    head, _, digits = base.partition(".")
+    return int(digits) if re.fullmatch(r"[0-9]+", digits) else 0
+
+
+def read_changelog(spark: SparkSession, paths, fmt: str = "parquet", schema=None, start: str | None = None) -> DataFrame:
     """Events with their place in the log: ``log_file``, ``log_seq``, ``log_pos``, ``event_ts``.
 
     ``log_file`` falls back to the name of the file an event is read from, and
     ``log_seq`` to the number in that name. ``log_pos`` is the end offset of
-    the event. The index file of a log is never read as events.
+    the event. The index file of a log is never read as events. With ``start``, a log's
+    name, files of earlier numbers are not read. Folders of ``write_changelog`` are told by
+    a filter on ``log_seq`` alone, also one whose value the query finds.
     """
+    if start is not None:
+        paths = later_logs(spark, paths, start)
     reader = spark.read.format(fmt)
     events = (reader.schema(schema) if schema else reader).load(paths)
     events = events.where(~F.col("_metadata.file_name").endswith(".index"))

@@ -21,9 +21,9 @@ from opstrail.operators import slowlog as ops
 from opstrail.operators.filesync import fingerprint
 from opstrail.plans.slowlog import REPORT_COLUMNS, parser_for
 from opstrail.sources.slowlog import RECORD_SEPARATOR
+from opstrail.streaming.state import FirstSeen
 
 CONTENT_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-SALTS = 64
 
 
 def _start(
@@ -128,20 +128,37 @@ def read_slow_table(spark: SparkSession, target: str, on_error: str = "file") ->
 
 
 def stream_new_content(
-    spark: SparkSession, directory: str, max_files: int | None = None
+    spark: SparkSession, directory: str, max_files: int | None = None, keep_seconds: int | None = None
 ) -> DataFrame:
-    """Streaming table of files, one per content ever seen: ``(path, length, sha256)``.
+    """Streaming table of files, one per content: ``(path, length, sha256)``.
 
-    Hashes are first deduplicated per salt, so that many copies of one content
-    are absorbed by many tasks, then over all. The state holds every hash
-    seen, as long as the stream lives.
+    A hash is kept once, as state in RocksDB on the executors' disks, not on the heap. With
+    ``keep_seconds`` it is forgotten that long after its content was given, so the state
+    does not grow without end, and the content counts as new after that. Copies are
+    dropped where they are hashed, so one content with many files sends a row per Arrow
+    batch at most. The store is set on a session of the stream's own.
     """
+    own = spark.newSession()
+    for key, value in {**{k: spark.conf.get(k) for k in KEPT_CONF if spark.conf.get(k, None)}, **STATE_STORE}.items():
+        own.conf.set(key, value)
     # Fingerprints stream each file in chunks.
-    names = _names(spark, directory, max_files).select("path", "length")
-    hashed = fingerprint(names).withColumn(
-        "salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))
+    names = _names(own, directory, max_files).select("path", "length")
+    hashed = fingerprint(names).mapInArrow(tasks.first_of_each("sha256", "path"), "path string, length bigint, sha256 string")
+    return hashed.groupBy("sha256").transformWithStateInPandas(
+        statefulProcessor=FirstSeen(keep_seconds),
+        outputStructType="path string, length bigint, sha256 string",
+        outputMode="Append",
+        timeMode="ProcessingTime",
     )
-    return hashed.dropDuplicates(["sha256", "salt"]).dropDuplicates(["sha256"]).drop("salt")
+
+
+# The state store that keeps named variables and their times. Batches without files
+# are left out, or a stream that is to end would go on making them for the sake of the times.
+STATE_STORE = {
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+KEPT_CONF = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled")
 
 
 def stream_apply(

@@ -406,6 +406,20 @@ def digest_files(batches):
         )
 
 
+def first_of_each(key, order):
+    """Task that keeps, of each Arrow batch, the row of the least ``order`` of every ``key``."""
+
+    def run(batches):
+        for batch in batches:
+            ranked = batch.sort_by([(key, "ascending"), (order, "ascending")])
+            keys = ranked.column(key)
+            if len(keys):
+                new = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)), True)
+                yield ranked.filter(pa.concat_arrays([pa.array([True]), new]))
+
+    return run
+
+
 def copy_to(dest):
     """Task that copies files below ``dest`` and reports each outcome."""
 

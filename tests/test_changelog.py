@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opstrail.operators import changelog as ops
 from opstrail.operators import ranking
 from opstrail.plans.restore import restore_job
-from opstrail.sources import read_changelog, read_dump_lines
+from opstrail.sources import read_changelog, read_dump_heads, read_dump_lines, write_changelog
 
 T0 = datetime(2024, 1, 1)
 
@@ -181,3 +181,40 @@ def test_restore_from_a_dump(spark, tmp_path):
     dump.write_text("no place named")
     with pytest.raises(Exception, match="could not extract log file and position"):
         restore_job(spark, str(dump), files, events, base, ["k"])
+
+
+def test_earlier_logs_are_not_read(spark, tmp_path):
+    """By number in the names, by folder with a start at hand, and by folder with a start the query finds."""
+    events = spark.range(4_000).select(
+        (F.col("id") % 40 + 1).alias("log_seq"), F.col("id").alias("log_pos"), F.format_string("quay.%04d", F.col("id") % 40 + 1).alias("log_file")
+    )
+    for n in (7, 8, 39):
+        events.where(F.col("log_seq") == n).coalesce(1).write.parquet(str(tmp_path / "made" / str(n)))
+        part = next((tmp_path / "made" / str(n)).glob("part*.parquet"))
+        (tmp_path / "logs").mkdir(exist_ok=True)
+        (tmp_path / "logs" / f"quay.{n:04}.parquet").write_bytes(part.read_bytes())
+    late = read_changelog(spark, str(tmp_path / "logs"), start="quay.0008")
+    assert sorted(f.rsplit("/", 1)[1] for f in late.inputFiles()) == ["quay.0008.parquet", "quay.0039.parquet"]
+    assert late.count() == 200
+    with pytest.raises(ValueError, match="no log from"):
+        read_changelog(spark, str(tmp_path / "logs"), start="quay.0040")
+    write_changelog(events, str(tmp_path / "by"))
+    by = read_changelog(spark, str(tmp_path / "by"))
+    want = events.where("log_seq > 38 OR (log_seq = 38 AND log_pos > 2000)").count()
+
+    def folders_read(df):
+        assert df.count() == want
+        rows = df.select("log_seq", "log_pos")
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        scan = [x for x in plan.splitlines() if "FileScan" in x][0]
+        return scan, rows
+
+    scan, _ = folders_read(ops.after_start(by, 38, 2000))
+    assert "PartitionFilters: [isnotnull(log_seq" in scan and ">= 38" in scan
+    (tmp_path / "d.sql").write_text("CHANGE MASTER TO MASTER_LOG_FILE='quay.0038', MASTER_LOG_POS=2000;\n")
+    at = ops.one_coordinate(read_dump_heads(spark, str(tmp_path / "d.sql"), ops.COORDINATES))
+    seq = at.select(F.substring_index("log_file", ".", -1).cast("bigint")).scalar()
+    scan, rows = folders_read(ops.after_start(by, seq, at.select("log_pos").scalar()))
+    filters = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "Subquery" in filters or "subquery" in filters, scan

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opstrail.operators import filesync as ops
+from opstrail.operators import known
 from opstrail.operators import matching
 from opstrail.plans import filesync
 from opstrail.plans.filesync import mirror_prefix, sync_run
@@ -58,7 +59,7 @@ def test_sync_runs(spark, source, tmp_path):
     (source / "binlog.000003").write_text("other and more")
     assert names(run()) == ["binlog.000003", "binlog.000004"]
     assert len(names(run(checksum=False))) == 4
-    ops.reset_state(spark, state)
+    known.reset_known(spark, state)
     assert len(names(run())) == 3
     rows = [json.loads(line) for f in (tmp_path / "log" / "runs").glob("part*") for line in f.read_text().splitlines()]
     assert sorted(r["n_files"] for r in rows) == [0, 2, 2, 3, 4]
@@ -148,11 +149,47 @@ def test_hot_keys_are_spread_and_matched(spark, monkeypatch, max_keys):
     assert hot == {"hot", "warm"}
 
 
-def test_state_compaction(spark, tmp_path):
+def test_state_in_runs(spark, tmp_path):
     state = str(tmp_path / "s")
-    assert ops.read_state(spark, state).count() == 0
-    one = spark.createDataFrame([("a",), ("b",)], "sha256 string")
-    ops.append_state(one, state)
-    ops.append_state(one, state)
-    assert ops.read_state(spark, state).count() == 4
-    assert ops.merged_state(ops.read_state(spark, state), one).count() == 2
+    assert known.read_known(spark, state).count() == 0
+    one = spark.createDataFrame([("a" * 64,), ("b" * 64,)], "sha256 string")
+    known.append_known(one, state)
+    known.append_known(one, state)
+    assert known.read_known(spark, state).count() == 4
+    assert ops.merged_state(known.read_known(spark, state), one).count() == 2
+
+
+def hashes(spark, ids, salt):
+    return spark.range(ids).select(F.sha2(F.concat(F.lit(salt), "id").cast("binary"), 256).alias("sha256"))
+
+
+def test_known_hashes_by_prefix(spark, tmp_path, monkeypatch):
+    """No known hash is missed, no new one is taken for known, and only prefixes that are asked for are read."""
+    state = str(tmp_path / "s")
+    for salt in ("a", "b"):
+        known.append_known(hashes(spark, 3_000, salt), state)
+    some = hashes(spark, 3_000, "b").union(hashes(spark, 2_000, "new")).union(spark.createDataFrame([(None,)], "sha256 string"))
+    some.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    maybe = known.maybe_known(spark, asked, state)
+    found = known.known_among(spark, asked, state)
+    want = {r.sha256 for r in hashes(spark, 3_000, "b").collect()}
+    assert {r.sha256 for r in found.collect()} == want <= {r.sha256 for r in maybe.collect()}
+    assert maybe.count() < 3_010
+    # A full filter says "perhaps" to all, and the second look still tells.
+    few = hashes(spark, 5, "new").cache()
+    asked_for = {r.sha256[:2] for r in few.collect()}
+    for table in (known.maybe_known(spark, few, state), known._only(known.read_known(spark, state), sorted(asked_for))):
+        scan = next(x for x in table._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+        folders = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+        assert all(p in folders for p in asked_for)
+    monkeypatch.setattr(known, "maybe_known", lambda spark, h, state: h.select("sha256").distinct())
+    assert known.known_among(spark, few, state).count() == 0
+
+
+def test_bits_set_before_hashes_cost_a_look_only(spark, tmp_path):
+    state = str(tmp_path / "s")
+    known.append_known(hashes(spark, 10, "a"), state)
+    folder = tmp_path / "s" / "hashes"
+    folder.rename(tmp_path / "lost")  # as if the run had stopped after its filters
+    assert known.known_among(spark, hashes(spark, 10, "a"), state).count() == 0

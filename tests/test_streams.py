@@ -1,10 +1,12 @@
 import gzip
 import shutil
+import time
 
 from pyspark.sql import functions as F
 
 from opstrail.operators.changelog import latest_changes
 from opstrail.plans.slowlog import slow_report
+from opstrail.session import get_session
 from opstrail.streaming import (
     compact_in_place,
     compact_parts,
@@ -96,3 +98,46 @@ def test_apply_in_any_order(spark, tmp_path):
     assert answer() == want
     assert compact_in_place(spark, table, ["k"]) == 2 and answer() == want
     assert len(list((tmp_path / "table").glob("*/batch_id=*"))) == 1 == compact_in_place(spark, table, ["k"])
+
+
+def intake(spark, folder, tmp_path, **options):
+    """Paths given by one run of a stream of new content."""
+    out, rows = tmp_path / "out", "path string, length bigint, sha256 string"
+    taken = lambda: [r.path.rsplit("/", 1)[1] for r in spark.read.schema(rows).parquet(str(out)).collect()] if out.exists() else []
+    before = taken()
+    (
+        stream_new_content(spark, str(folder), **options)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "mark"))
+        .trigger(availableNow=True)
+        .start(str(out))
+        .awaitTermination()
+    )
+    return sorted(set(taken()) - set(before))
+
+
+def test_hashes_are_kept_once_and_forgotten_in_time(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(30):
+        (folder / f"copy{n:02}").write_text("one content")
+    (folder / "other").write_text("another")
+    begun = time.time()
+    assert intake(spark, folder, tmp_path, keep_seconds=45) == ["copy00", "other"]
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "mark"))
+    assert state.count() == 2  # each hash once
+    (folder / "soon").write_text("one content")
+    assert intake(spark, folder, tmp_path, keep_seconds=45) == [] or time.time() - begun > 45
+    time.sleep(max(0, 47 - (time.time() - begun)))
+    (folder / "later").write_text("one content")
+    assert intake(spark, folder, tmp_path, keep_seconds=45) == ["later"]
+
+
+def test_hashes_are_kept_without_a_time(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a").write_text("x")
+    assert intake(spark, folder, tmp_path) == ["a"]
+    (folder / "b").write_text("x")
+    assert intake(spark, folder, tmp_path) == []
+    assert "RocksDB" in get_session().conf.get("spark.sql.streaming.stateStore.providerClass")
