@@ -83,8 +83,8 @@ def sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 logged.select("ok").scalar().alias("ok"),
             )
         )
-    known = known.read_known(spark, f"{run}/state").agg(F.count_distinct("sha256").alias("n")).scalar()
-    return runs[0].unionAll(runs[1]).unionAll(runs[2]).withColumn("n_known", known)
+    total = known.read_known(spark, f"{run}/state").agg(F.count_distinct("sha256").alias("n")).scalar()
+    return runs[0].unionAll(runs[1]).unionAll(runs[2]).withColumn("n_known", total)
 
 
 def sync_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
