@@ -143,15 +143,18 @@ def wide_block(doc_id: Column) -> Column:
     return F.coalesce(F.shiftright(doc_id, BLOCK_BITS), F.lit(-(1 << 63)))
 
 
+def _digits(x: Column) -> Column:
+    """16 hex digits of a whole number, in the numbers' order."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
 def block_of(crowded: list[int]) -> Column:
-    """The block of a row by its wide block, and in ``crowded`` ones by id and the hash's first bits; later ones are less."""
-    none = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    plain = F.struct(F.col("wide").alias("wide"), none[0].alias("id"), none[1].alias("mark"))
+    """The block of a row by its wide block, and in ``crowded`` ones by id and the hash's first bits, as
+    text: a plain column, so that Spark reads one exchange twice. Later blocks come first in its order."""
     if not crowded:
-        return plain
-    further = F.coalesce("doc_id", F.lit(0)).cast("bigint"), -F.shiftright("mark", 64 - MARK_BITS)
-    fine = F.struct(F.col("wide").alias("wide"), further[0].alias("id"), further[1].alias("mark"))
-    return F.when(F.col("wide").isin(crowded), fine).otherwise(plain)
+        return _digits(F.col("wide"))
+    further = F.concat(_digits(F.coalesce("doc_id", F.lit(0).cast("bigint"))), _digits(-F.shiftright("mark", 64 - MARK_BITS)))
+    return F.concat(_digits(F.col("wide")), F.when(F.col("wide").isin(crowded), further).otherwise(""))
 
 
 def followed(spark: SparkSession, blocks: DataFrame) -> DataFrame:
