@@ -10,6 +10,7 @@ from opstrail.functions.times import elapsed_text
 def result_text(results: DataFrame, markup: bool = False) -> DataFrame:
     """Adds ``text``, one line per job result; ``markup`` is the chat form."""
     took = elapsed_text(F.col("elapsed_ms"))
+    # The four texts.
     if markup:
         good = F.format_string(":white_check_mark: `%s` succeeded, it took *%s*", "job_name", took)
         bad = F.format_string(":x: `%s` failed, it took *%s* ```%s```", "job_name", took, "error")
