@@ -50,7 +50,9 @@ def key_cuts(df: DataFrame, key: str, ranges: int) -> list[int]:
     """
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     sketch = F.kll_sketch_agg_bigint(F.col(key).cast("bigint"), F.lit(SKETCH))
-    found = df.agg(F.kll_sketch_get_quantile_bigint(sketch, shares).alias("cuts")).first()["cuts"] if ranges > 1 else None
+    # A sketch of no keys has no quantiles.
+    cuts = F.when(F.count(key) > 0, F.kll_sketch_get_quantile_bigint(sketch, shares))
+    found = df.agg(cuts.alias("cuts")).first()["cuts"] if ranges > 1 else None
     return sorted(set(found or []))
 
 
