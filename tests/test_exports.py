@@ -250,7 +250,7 @@ def test_statements_are_bounded(spark):
 def test_equal_ranges_of_a_skewed_key(spark):
     """Nine tenths of the rows in a hundredth of the range, and one key with many rows."""
     spread = spark.range(100_000).select(F.when(F.col("id") % 10 == 0, F.col("id") * 1000).otherwise(F.col("id")).alias("k"))
-    cuts = tables.key_cuts(spread, "k", 32)
+    cuts = even = tables.key_cuts(spread, "k", 32)  # sketches differ a little from run to run
     sizes = [spread.where(p).count() for p in tables.cut_predicates("k", cuts)]
     assert len(sizes) == 32 and sum(sizes) == 100_000 and max(sizes) < 2 * sorted(sizes)[16]
     numbered = spread.select(tables.range_of(F.col("k"), cuts).alias("r")).groupBy("r").count().orderBy("r").collect()
@@ -260,5 +260,5 @@ def test_equal_ranges_of_a_skewed_key(spark):
     parts = [hot.where(p) for p in tables.cut_predicates("k", cuts)]
     assert sum(p.count() for p in parts) == 10_000 and parts[0].where("k IS NULL").count() == 1_000
     assert tables.key_cuts(spark.range(0), "id", 4) == [] and tables.cut_predicates("k", []) == ["1 = 1"]
-    made = literals.insert_statements(spread, "t", batch_rows=10_000, batch_by=("k", tables.key_cuts(spread, "k", 32)))
+    made = literals.insert_statements(spread, "t", batch_rows=10_000, batch_by=("k", even))
     assert sorted(r.n_rows for r in made.collect()) == sorted(sizes)
