@@ -12,7 +12,10 @@
 The text is shuffled once (steps 2 and 4 read one exchange) and a window costs eleven
 bytes, or a bit, in the others. A passage in a third of all documents is one entry per
 batch. Batches and shards are bounded by their byte targets, not by any key: both keys
-are hashes. Two windows count as equal if 88 bits agree; among 1.6e13 windows (100 TB)
+are hashes. There are at most ``MOST_PARTITIONS`` partitions of texts, each read batch by batch,
+and a batch visits just the shards its own hashes fall in: on inputs so large that a batch has
+about one hash a shard, the cells become a row per window, and the work stays that of
+the windows. Raise ``BATCH_BYTES`` with the executors' memory to keep cells long. Two windows count as equal if 88 bits agree; among 1.6e13 windows (100 TB)
 less than one pair is expected to do so by chance.
 """
 
@@ -33,6 +36,8 @@ BATCH_BYTES = 8 << 20
 SHARD_BYTES = 32 << 20
 #: Bases of the two polynomials, any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Shuffle partitions of the texts; with more batches than that a partition holds several, one in memory at a time.
+MOST_PARTITIONS = 20_000
 #: Words whose hash a task remembers.
 REMEMBERED = 500_000
 
@@ -114,11 +119,16 @@ def _unpack(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, c.view(">u4").ravel().astype(np.uint64)
 
 
-def _edges(h: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of ordered hashes starts, with the end."""
-    width = -(-(1 << 64) // shards)
-    cuts = np.array([i * width for i in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(h, cuts), [len(h)]))
+def _parts(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, edges): which of two shards or more ordered hashes fall in, and where each one's part starts, with the end.
+
+    The work is that of the hashes, however many shards there are.
+    """
+    if not len(h):
+        return np.empty(0, np.int64), np.zeros(1, np.int64)
+    shard = (h // np.uint64(-(-(1 << 64) // shards))).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    return shard[starts], np.append(starts, len(h))
 
 
 def _senders(window: int, shards: int):
@@ -126,14 +136,13 @@ def _senders(window: int, shards: int):
         h, c, _ = _batch_hashes(batch.column("body"), WindowHashes(window))
         order, _, starts = _distinct(h, c)
         h, c = h[order][starts], c[order][starts]
-        edges = _edges(h, shards)
-        full = [i for i in range(shards) if edges[i] < edges[i + 1]]
+        full, edges = _parts(h, shards)
         number = batch.column("batch")[0].as_py()
         return pa.table(
             {
                 "shard": pa.array(full, pa.int32()),
                 "batch": pa.array([number] * len(full), pa.int32()),
-                "cell": pa.array([_pack(h[edges[i] : edges[i + 1]], c[edges[i] : edges[i + 1]]) for i in full], pa.binary()),
+                "cell": pa.array([_pack(h[a:b], c[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
             }
         )
 
@@ -167,9 +176,9 @@ def _cutters(window: int, shards: int):
         h, c, sizes = _batch_hashes(docs.column("body"), roll)
         order, entry, starts = _distinct(h, c)
         again = np.diff(np.append(starts, len(h))) > 1
-        edges = _edges(h[order][starts], shards)
-        for shard, cell in zip(bits.column("shard").to_pylist(), bits.column("bits").to_pylist(), strict=True):
-            a, b = edges[shard], edges[shard + 1]
+        full, edges = _parts(h[order][starts], shards)
+        answered = np.searchsorted(full, bits.column("shard").to_numpy())
+        for a, b, cell in zip(edges[answered], edges[answered + 1], bits.column("bits").to_pylist(), strict=True):
             again[a:b] |= np.unpackbits(np.frombuffer(cell, np.uint8), count=b - a).astype(bool)
         marked = np.zeros(len(h), bool)
         marked[order] = again[entry]
@@ -207,10 +216,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole(F.col("text")).cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts = batches_for(spark, size, BATCH_BYTES)
+    batches = batches_for(spark, size, BATCH_BYTES)
     shards = batches_for(spark, 2 * size, SHARD_BYTES)
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "body"), F.lit(parts)).cast("int"))
-    dealt = dealt.repartition(parts, "batch")
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "body"), F.lit(batches)).cast("int"))
+    dealt = dealt.repartition(min(batches, MOST_PARTITIONS), "batch")
     cells = dealt.groupBy("batch").applyInArrow(_senders(window, shards), "shard int, batch int, cell binary")
     bits = cells.groupBy("shard").applyInArrow(_count, "shard int, batch int, bits binary")
     return (

@@ -130,9 +130,12 @@ def test_passages_of_odd_rows(spark, odd, none, rows):
     assert sd.remove_repeats(spark, none).count() == 0
 
 
-def test_passages_across_batches(spark, monkeypatch):
+@pytest.mark.parametrize("shard_bytes, partitions", [(500, 100), (500, 3), (1, 2)])
+def test_passages_across_batches(spark, monkeypatch, shard_bytes, partitions):
+    """Many batches, one or several a partition, and shards that most batches have no hash of."""
     monkeypatch.setattr(sd, "BATCH_BYTES", 300)
-    monkeypatch.setattr(sd, "SHARD_BYTES", 500)
+    monkeypatch.setattr(sd, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(sd, "MOST_PARTITIONS", partitions)
     rng = random.Random(4)
     shared = [f"w{rng.randint(0, 9)}" for _ in range(40)]
     texts = []
