@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import inputs
 from opstrail.functions import strip_semicolons, to_number, tokens, trim_ws
 from opstrail.operators import filesync as ops
-from opstrail.operators import known
-from opstrail.plans.filesync import mirror_prefix, sync_run
+from opstrail.operators import known, ranges
+from opstrail.plans.filesync import copy_by_ranges, mirror_prefix, sync_run
 from opstrail.session import work_dir
 from opstrail.sources import list_files
 from opstrail.streaming import stream_new_content
@@ -31,6 +31,20 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fingerprint(files).select(*_bucket("name"), "length", "sha256")
 
 
+LEAF, SPAN = 1024, 4096
+
+
+def range_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files copied range by range: the tree digest of each copy, and of it read in ranges of another length."""
+    dest = work_dir(spark, "ranged")
+    files = list_files(spark, inputs.doc_files(spark, sf_dir), pattern="docs-[0-9]*")
+    copied = copy_by_ranges(files, dest, SPAN, LEAF)
+    cut = ranges.byte_ranges(list_files(spark, dest), 4 * SPAN, LEAF)
+    again = ranges.file_digests(ranges.digest_ranges(ranges.spread_ranges(cut, 7), LEAF))
+    other = again.select("name", F.col("tree").alias("tree_again"), (F.col("n_ranges")).alias("n_long_ranges"))
+    return copied.join(other, "name").select(*_bucket("name"), "ok", "bytes", "tree", "tree_again", "n_long_ranges")
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document hashes as a table, hashed once."""
     path = inputs.once(
@@ -167,6 +181,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "fingerprint": fingerprint,
     "file_fingerprint": file_fingerprint,
+    "range_copies": range_copies,
     "sync_pending": sync_pending,
     "sync_done": sync_done,
     "known_hashes": known_hashes,
@@ -190,6 +205,16 @@ ORACLE = {
     "file_fingerprint": f"""WITH {BUCKETS}
       SELECT bucket, is_copy, strlen(body) AS length, sha256(body) AS sha256
       FROM buckets, (VALUES (true), (false)) c(is_copy)""",
+    "range_copies": f"""WITH RECURSIVE {BUCKETS},
+      leaves AS (SELECT bucket, strlen(body) AS bytes, list_transform(range(0, greatest((strlen(body) + {LEAF - 1}) // {LEAF}, 1)),
+        lambda i: sha256(unhex(substr(hex(encode(body)), 2 * {LEAF} * i + 1, 2 * {LEAF})))) AS nodes FROM buckets),
+      tree AS (SELECT bucket, bytes, nodes FROM leaves
+        UNION ALL SELECT bucket, bytes, list_transform(range(0, (len(nodes) + 1) // 2),
+          lambda i: CASE WHEN 2 * i + 1 < len(nodes) THEN sha256(nodes[2 * i + 1] || nodes[2 * i + 2]) ELSE nodes[2 * i + 1] END)
+        FROM tree WHERE len(nodes) > 1)
+      SELECT bucket, is_copy, true AS ok, bytes, nodes[1] AS tree, nodes[1] AS tree_again,
+        greatest((bytes + {4 * SPAN - 1}) // {4 * SPAN}, 1) AS n_long_ranges
+      FROM tree, (VALUES (true), (false)) c(is_copy) WHERE len(nodes) = 1""",
     "sync_pending": """SELECT doc_id, sha256(text) AS sha256 FROM documents
       WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""",
     "sync_done": """SELECT doc_id, sha256(text) AS sha256 FROM documents

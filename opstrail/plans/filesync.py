@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opstrail.operators import filesync as ops
-from opstrail.operators import known
+from opstrail.operators import known, ranges as parts
 from opstrail.session import remove_folder, work_dir
 from opstrail.sources.files import list_files, list_prefix
 
@@ -74,6 +74,33 @@ def sync_run(
     return copied
 
 
+def copy_by_ranges(
+    files: DataFrame,
+    dest: str,
+    range_bytes: int = parts.RANGE_BYTES,
+    leaf_bytes: int = parts.LEAF_BYTES,
+) -> DataFrame:
+    """Copy listed files range by range: ``(path, name, ok, error, bytes, tree)`` per file.
+
+    One large file is read and written by as many tasks as it has ranges, up to a
+    wave of tasks of ``TASK_BYTES``. Ranges are a written table before files get their
+    names, so a lost executor repeats a range and no file appears half done. ``dest``
+    takes writes at a position; ``copy_files`` serves object stores.
+    """
+    spark = files.sparkSession
+    run = work_dir(spark, "ranges")
+    listed = _written(parts.byte_ranges(files, range_bytes, leaf_bytes), f"{run}/listed")
+    total = listed.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes")).first()
+    wanted = max(spark.sparkContext.defaultParallelism, (total.bytes or 0) // TASK_BYTES)
+    dealt = parts.spread_ranges(listed, max(1, min(total.n, wanted)))
+    mark = run.rpartition("-")[2]
+    copied = _written(parts.copy_ranges(dealt, dest, mark, leaf_bytes), f"{run}/copied")
+    shown = _written(parts.finish_copies(copied, dest, mark), f"{run}/shown")
+    for name in ("listed", "copied"):
+        remove_folder(spark, f"{run}/{name}")
+    return shown
+
+
 def mirror_prefix(spark: SparkSession, root: str, prefix: str, dest: str) -> DataFrame:
     """Copy every object below a key prefix, keeping the rest of its key as the path."""
     run = work_dir(spark, "mirror")

@@ -467,6 +467,134 @@ def copy_to(dest):
     return run
 
 
+def local_path(path):
+    return _local(path)
+
+
+def tree_root(nodes):
+    """Root of a digest tree over hex digests; one without a sibling stands for itself."""
+    while len(nodes) > 1:
+        pairs = [
+            hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(nodes[::2], nodes[1::2])
+        ]
+        nodes = pairs + (nodes[-1:] if len(nodes) % 2 else [])
+    return nodes[0]
+
+
+def _leaves(path, start, end, leaf_bytes):
+    """The leaves of a file's bytes [start, end); at least one, fewer bytes are an error."""
+    with CountedReads(path, start) as source:
+        left = end - start
+        while True:
+            leaf, want = bytearray(), min(leaf_bytes, left)
+            while len(leaf) < want:
+                block = source.read(want - len(leaf))
+                if not block:
+                    raise OSError(f"file shrank by {left - len(leaf)} bytes while read: {path}")
+                leaf += block
+            yield bytes(leaf)
+            left -= want
+            if not left:
+                return
+
+
+RANGE_DIGESTS = pa.schema(
+    [(n, pa.string()) for n in ("path", "name")]
+    + [(n, pa.int64()) for n in ("length", "nth", "start", "end")]
+    + [(n, pa.string()) for n in ("digest", "error")]
+)
+
+
+def _each_range(act):
+    """Task that adds the digest or the error of ``act(row)`` to each range."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                try:
+                    row["digest"], row["error"] = act(row), None
+                except OSError as problem:
+                    row["digest"], row["error"] = None, f"fail to read file: {row['path']}, error: {problem}"
+            yield pa.RecordBatch.from_pylist(rows, schema=RANGE_DIGESTS)
+
+    return run
+
+
+def digest_byte_ranges(leaf_bytes):
+    """Task that reads ranges leaf by leaf."""
+
+    def digest(row):
+        found = _leaves(row["path"], row["start"], row["end"], leaf_bytes)
+        return tree_root([hashlib.sha256(leaf).hexdigest() for leaf in found])
+
+    return _each_range(digest)
+
+
+def _hidden(dest, name, run):
+    parent, base = os.path.split(f"{_local(dest)}/{name}")
+    return os.path.join(parent, f".{base}.{run}")
+
+
+def copy_byte_ranges(dest, run, leaf_bytes):
+    """Task that writes ranges at their place in a hidden file."""
+
+    def copy(row):
+        hidden = _hidden(dest, row["name"], run)
+        os.makedirs(os.path.dirname(hidden), exist_ok=True)
+        out, at, digests = os.open(hidden, os.O_WRONLY | os.O_CREAT, 0o666), row["start"], []
+        try:
+            for leaf in _leaves(row["path"], row["start"], row["end"], leaf_bytes):
+                done = 0
+                while done < len(leaf):
+                    done += os.pwrite(out, leaf[done:], at + done)
+                at += len(leaf)
+                digests.append(hashlib.sha256(leaf).hexdigest())
+        finally:
+            os.close(out)
+        return tree_root(digests)
+
+    return _each_range(copy)
+
+
+def show_copies(dest, run):
+    """Task that gives whole copies their names."""
+
+    def show(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                hidden, final = _hidden(dest, row["name"], run), f"{_local(dest)}/{row['name']}"
+                error = row["error"]
+                if not error:
+                    try:
+                        if os.path.exists(hidden) or not os.path.exists(final):
+                            os.replace(hidden, final)
+                    except OSError as problem:
+                        error = f"fail to sync file: {row['path']}, error: {problem}"
+                else:
+                    with contextlib.suppress(FileNotFoundError):
+                        os.unlink(hidden)
+                rows.append(
+                    {
+                        "path": row["path"],
+                        "name": row["name"],
+                        "ok": not error,
+                        "error": error,
+                        "bytes": 0 if error else row["length"],
+                        "tree": None if error else row["tree"],
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(rows, schema=SHOWN)
+
+    return show
+
+
+SHOWN = pa.schema(
+    [("path", pa.string()), ("name", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("bytes", pa.int64()), ("tree", pa.string())]
+)
+
+
 def join_rows(head, batch_rows, batch_bytes):
     """Task that joins rendered rows into statements of at most ``batch_rows`` rows.
 

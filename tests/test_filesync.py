@@ -1,15 +1,16 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from opstrail.operators import filesync as ops
 from opstrail.operators import known
-from opstrail.operators import matching
+from opstrail.operators import matching, ranges
 from opstrail.plans import filesync
-from opstrail.plans.filesync import mirror_prefix, sync_run
+from opstrail.plans.filesync import copy_by_ranges, mirror_prefix, sync_run
 from opstrail.sources import list_files, list_prefix
 
 
@@ -193,3 +194,68 @@ def test_bits_set_before_hashes_cost_a_look_only(spark, tmp_path):
     folder = tmp_path / "s" / "hashes"
     folder.rename(tmp_path / "lost")  # as if the run had stopped after its filters
     assert known.known_among(spark, hashes(spark, 10, "a"), state).count() == 0
+
+
+def plain_tree(data, leaf):
+    nodes = [hashlib.sha256(data[i : i + leaf]).hexdigest() for i in range(0, max(len(data), 1), leaf)]
+    while len(nodes) > 1:
+        up = []
+        for i in range(0, len(nodes), 2):
+            up.append(hashlib.sha256("".join(nodes[i : i + 2]).encode()).hexdigest() if i + 1 < len(nodes) else nodes[i])
+        nodes = up
+    return nodes[0]
+
+
+def test_large_file_by_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    sizes = {"big": 70_001, "even": 16 * 1024, "leaf": 1024, "none": 0, "odd": 5 * 1024 + 1}
+    source = tmp_path / "source"
+    source.mkdir()
+    for name, n in sizes.items():
+        (source / name).write_bytes(rng.randbytes(n))
+    # Spark's listing leaves empty files out; a row of one is a file like any other.
+    empty = spark.createDataFrame([(str(source / "none"), "none", 0)], "path string, name string, length long")
+    files = list_files(spark, str(source)).select("path", "name", "length").union(empty)
+    for span in (1024, 4096, 1 << 20):
+        dest = tmp_path / f"dest-{span}"
+        done = {r.name: r for r in copy_by_ranges(files, str(dest), span, 1024).collect()}
+        assert sorted(p.name for p in dest.iterdir()) == sorted(sizes)
+        for name, n in sizes.items():
+            data = (source / name).read_bytes()
+            assert (dest / name).read_bytes() == data
+            assert (done[name].ok, done[name].bytes, done[name].tree) == (True, n, plain_tree(data, 1024))
+    dealt = ranges.spread_ranges(ranges.byte_ranges(files.where("name = 'big'"), 4096, 1024), 8)
+    used = dealt.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 6  # of 8 tasks for 18 ranges of one file
+
+
+def test_flipped_byte_names_its_range(spark, tmp_path):
+    for side in ("a", "b"):
+        (tmp_path / side).mkdir()
+        data = bytearray(bytes(range(256)) * 200)
+        if side == "b":
+            data[9000] ^= 1
+        (tmp_path / side / "log").write_bytes(data)
+    a, b = (ranges.digest_ranges(ranges.byte_ranges(list_files(spark, str(tmp_path / s)), 4096, 1024), 1024) for s in "ab")
+    assert [tuple(r) for r in ranges.differing_ranges(a, b).collect()] == [("log", 2, 8192, 12288)]
+    assert ranges.differing_ranges(a, a).count() == 0
+
+
+def test_file_that_shrinks_does_not_appear(spark, tmp_path):
+    source, dest = tmp_path / "source", tmp_path / "dest"
+    source.mkdir()
+    for name in ("cut", "gone", "whole"):
+        (source / name).write_bytes(b"x" * 9000)
+    listed = [tuple(r) for r in list_files(spark, str(source)).select("path", "name", "length").collect()]
+    files = spark.createDataFrame(listed, "path string, name string, length long")
+    (source / "cut").write_bytes(b"x" * 5000)
+    (source / "gone").unlink()
+    done = {r.name: r for r in copy_by_ranges(files, str(dest), 4096, 1024).collect()}
+    assert [done[n].ok for n in ("cut", "gone", "whole")] == [False, False, True]
+    assert "shrank" in done["cut"].error and done["gone"].tree is None
+    assert [p.name for p in dest.iterdir()] == ["whole"]
+
+
+def test_ranges_are_powers_of_two_of_leaves(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ranges.byte_ranges(list_files(spark, str(tmp_path)), 3072, 1024)
