@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import inputs
-from opstrail.functions import strip_semicolons, to_number, tokens, trim_ws
+from checks.exports import text_sql
+from checks.slowlog import masked_sql
+from opstrail.functions import register_functions, strip_semicolons, to_number, tokens, trim_ws
 from opstrail.operators import filesync as ops
 from opstrail.operators import known, ranges
 from opstrail.plans.filesync import copy_by_ranges, mirror_prefix, sync_run
@@ -178,6 +180,21 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the functions as SQL names them."""
+    register_functions(spark)
+    return spark.sql(
+        r"""SELECT doc_id, md5(ot_mask_literals(text)) AS masked, md5(ot_trim_ws(concat(char(9), text, '　'))) AS trimmed,
+          length(ot_strip_semicolons(text)) AS n_left, cast(size(ot_text_tokens(text)) AS bigint) AS n_words,
+          ot_to_int(ot_base_name(concat('x/', doc_id))) AS named, ot_to_float(concat(doc_id, '.5e0')) AS half,
+          ot_content_hash(text) AS sha256, md5(ot_sql_text(text)) AS literal, ot_sql_float(doc_id / 7D) AS seventh,
+          ot_base_name(concat('/', source, '/b.', doc_id)) AS base, ot_dir_name(concat('/', source, '/b.', doc_id)) AS dir,
+          ot_log_number(concat('/', source, '/b.', doc_id)) AS number, ot_sql_bool(lang = 'en') AS english
+        FROM {docs}""",
+        docs=inputs.table(spark, sf_dir, "documents"),
+    ).withColumn("n_left", F.col("n_left").cast("bigint"))
+
+
 QUERIES = {
     "fingerprint": fingerprint,
     "file_fingerprint": file_fingerprint,
@@ -191,6 +208,7 @@ QUERIES = {
     "mirror_prefix": mirror,
     "stream_content_dedup": stream_contents,
     "text_functions": text_functions,
+    "sql_functions": sql_functions,
 }
 
 BUCKETS = f"""buckets AS (
@@ -241,6 +259,13 @@ ORACLE = {
       FROM buckets, total""",
     "stream_content_dedup": f"""WITH {BUCKETS}
       SELECT DISTINCT sha256(body) AS sha256, strlen(body) AS length FROM buckets""",
+    "sql_functions": f"""SELECT doc_id, md5({masked_sql('text')}) AS masked,
+        md5(regexp_replace(regexp_replace(text, '^{SPACE}+', ''), '{SPACE}+$', '')) AS trimmed,
+        length(replace(text, ';', '')) AS n_left, len({WORDS}) AS n_words,
+        doc_id AS named, doc_id + 0.5::DOUBLE AS half,
+        sha256(text) AS sha256, md5({text_sql('text')}) AS literal, printf('%f', doc_id / 7.0::DOUBLE) AS seventh,
+        'b.' || doc_id AS base, '/' || source AS dir, doc_id AS number, CASE WHEN lang = 'en' THEN 'true' ELSE 'false' END AS english
+      FROM documents""",
     "text_functions": f"""SELECT doc_id,
         md5(regexp_replace(regexp_replace(text, '^{SPACE}+', ''), '{SPACE}+$', '')) AS trimmed,
         length(replace(text, ';', '')) AS n_left, len({WORDS}) AS n_words,

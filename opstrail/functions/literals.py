@@ -49,7 +49,7 @@ def sql_float(c: Column, lossless: bool = False) -> Column:
     plain = F.concat(_sign(x), units.cast("string"), F.lit("."), F.substring((whole % 1_000_000 + 1_000_000).cast("string"), 2, 6))
     # A lambda is evaluated apart from the generated code, which stays small enough to be compiled;
     # as SQL text it is parsed at once, where building it would take a call per operator.
-    exact = F.get(F.call_function("transform", F.array(x), F.expr(f"x -> {_EXACT_FLOAT}")), 0)
+    exact = F.get(F.call_function("transform", F.array(x), F.expr(f"x -> {EXACT_FLOAT}")), 0)
     return F.when(near, plain).when(x.isNotNull(), F.concat(_sign(x), exact))
 
 
@@ -114,7 +114,7 @@ _ALL_DIGITS = _let(
     ),
 )
 #: Text without sign of the double x.
-_EXACT_FLOAT = _let(
+EXACT_FLOAT = _let(
     "a",
     "abs(x)",
     f"""case when isnan(a) or a = double('Infinity') then cast(raise_error(concat('no SQL literal for ', cast(x as string))) as string)

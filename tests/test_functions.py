@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime, timezone
 
@@ -124,3 +125,40 @@ def test_times(spark):
     assert stamp.first().t == 1706933106
     with pytest.raises(ValueError):
         fn.utc_literal("2024-02-03")
+
+
+TEXTS = [
+    None, "", " \t\u3000a1 12.5 'x''y' \"q\";\u2003", "back\\slash\nline\rend 'q' \"j\"", "+17", "-9223372036854775809",
+    "1e400", "-.5e3", "1.", "Inf", "NaN", "0x1p3", "/a/b.c/bin.000012", "bin.+7", "a.b.3", "/k/rest", "k/x", "k", "caf\u00e95 7",
+]
+FLOATS = [None, 0.0, -0.0, 1.5, -2.0000005, 0.0000005, 1e15 + 0.25, 123456789012.123456, 2.0**70, -(2.0**200), 5e-324]
+TIMES = [None, 0, 1, 250, 999, 1000, 1500, 59_999, 60_000, 60_250, 3_599_999, 3_600_000, 7_205_000, 7_205_050]
+
+
+def test_sql_names_like_columns(spark):
+    """Every function by its SQL name gives what the column function gives, in a plan without Python."""
+    names = fn.register_functions(spark)
+    s, v, ms = F.col("s"), F.col("v"), F.col("ms")
+    b = s.cast("binary")
+    like = {
+        "mask_literals(s)": fn.mask_literals(s), "trim_ws(s)": fn.trim_ws(s), "strip_semicolons(s)": fn.strip_semicolons(s),
+        "text_tokens(s)": fn.tokens(s), "to_int(s)": fn.to_number(s, "int"), "to_float(s)": fn.to_number(s, "float"),
+        "is_gzip(unhex('1F8B08'))": F.lit(True), "is_gzip(cast(s as binary))": fn.is_gzip(b), "content_hash(s)": F.sha2(b, 256),
+        "base_name(s)": fn.base_name(s), "dir_name(s)": fn.dir_name(s), "log_number(s)": fn.log_number(s),
+        "relative_key(s, '/k')": fn.relative_key(s, "/k"), "relative_key(s, 'k')": fn.relative_key(s, "k"),
+        "sql_text(s)": fn.sql_text(s), "sql_json(s)": fn.sql_json(s), "sql_binary(cast(s as binary))": fn.sql_binary(b),
+        "sql_float(v)": fn.sql_float(v), "sql_bit(v > 1)": fn.sql_bit(v > 1), "sql_bool(v > 1)": fn.sql_bool(v > 1),
+        "elapsed_text(ms)": fn.elapsed_text(ms),
+    }
+    assert {"ot_" + c.split("(")[0] for c in like} == set(names)
+    rows = [(t, f, m) for t, f, m in itertools.zip_longest(TEXTS, FLOATS, TIMES)]
+    spark.createDataFrame(rows, "s string, v double, ms bigint").createOrReplaceTempView("odd_values")
+    got = spark.sql("SELECT " + ", ".join(f"ot_{c} AS c{i}" for i, c in enumerate(like)) + " FROM odd_values")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    want = spark.table("odd_values").select(*[c.alias(f"c{i}") for i, c in enumerate(like.values())])
+    for a, b in zip(got.collect(), want.collect(), strict=True):
+        for call, x, y in zip(like, a, b, strict=True):
+            assert repr(x) == repr(y), call
+    with pytest.raises(Exception, match="no SQL literal"):
+        spark.sql("SELECT ot_sql_float(double('NaN'))").collect()
