@@ -176,6 +176,24 @@ def _rows_in(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.sum(joints).alias("n"))
 
 
+def export_job_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of jobs whose destinations are whole scripts, read back with the outcome of each job."""
+    root = work_dir(spark, "jobs")
+    jobs = [
+        export.ExportJob(
+            t, "parquet", f"{sf_dir}/{t}.parquet", [export.Destination(f"{root}/{t}", "script")],
+            dump={"database": "shop", "batch_by": (KEY[t], BATCH)},
+        )
+        for t in NAMED_TABLES
+    ]
+    results = export.run_exports(spark, jobs, max_parallel=2).select(F.col("job_name").alias("job"), "ok", "error")
+    scripts = None
+    for t in NAMED_TABLES:
+        script = export.read_script(spark, f"{root}/{t}").select(F.lit(t).alias("job"), "*")
+        scripts = script if scripts is None else scripts.unionAll(script)
+    return scripts.join(F.broadcast(results), "job", "left")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of a hundred events, each event a job that failed if it is an error."""
     results = inputs.table(spark, sf_dir, "events").select(
@@ -245,6 +263,7 @@ QUERIES = {
     "export_sql_script": export_sql_script,
     "export_fanout": export_fanout,
     "export_batch": export_batch,
+    "export_job_script": export_job_script,
     "batch_outcome": outcomes,
     "job_faults": faults,
     "insert_large_keys": large_keys,
@@ -326,16 +345,18 @@ def _ddl(name: str, columns: tuple[str, ...]) -> list[str]:
     return [f"DROP TABLE IF EXISTS `{name}`;", f"CREATE TABLE `{name}` ({defined});"]
 
 
-def _script_sql() -> str:
-    ddl = [s for t in NAMED_TABLES for s in _ddl(f"dump_{t}", COLUMNS[t])]
-    ddl += _ddl("dump_zero", COLUMNS["nation"])
+def _script_sql(tables: list[str] = NAMED_TABLES, prefix: str = "dump_", database: str = "") -> str:
+    """All parts of a script; that of a whole database has an empty table too."""
+    ddl = [s for t in tables for s in _ddl(f"{prefix}{t}", COLUMNS[t])]
+    if not database:
+        ddl += _ddl("dump_zero", COLUMNS["nation"])
     parts = [
-        _lines_sql("1-header", ["-- Database: ", *export.SCRIPT_HEADER]),
+        _lines_sql("1-header", [f"-- Database: {database}", *export.SCRIPT_HEADER]),
         _lines_sql("2-structure", ddl),
         _lines_sql("4-footer", export.SCRIPT_FOOTER),
     ]
-    for i, t in enumerate(NAMED_TABLES):
-        name, part = f"dump_{t}", f"3-{i:06d}-dump_{t}"
+    for i, t in enumerate(tables):
+        name, part = f"{prefix}{t}", f"3-{i:06d}-{prefix}{t}"
         parts += [
             _lines_sql(
                 f"{part}-1-open",
@@ -424,6 +445,9 @@ ORACLE = {
     "key_ranges": """SELECT l_returnflag, count(*) AS n_rows, CAST(sum((l_orderkey * 8 + l_linenumber)
         * CASE WHEN l_orderkey % 10 = 0 THEN 1000 ELSE 1 END) AS BIGINT) AS keys, true AS balanced
       FROM lineitem GROUP BY 1""",
+    "export_job_script": " UNION ALL ".join(
+        f"SELECT '{t}' AS job, part, value, true AS ok, '' AS error FROM ({_script_sql([t], '', 'shop')})" for t in NAMED_TABLES
+    ),
     "result_text": f"""WITH {TEXT_RESULTS} SELECT event_id,
         CASE WHEN ok THEN j || ' succeeded, it took ' || d
           ELSE j || ' failed, it took ' || d || ' with error: ' || e END AS text,

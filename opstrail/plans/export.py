@@ -223,20 +223,26 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part.alias("part"), "value")
 
 
+# What a job without one of these is told, in the order looked at.
+REQUIRED = {
+    "name": "job name is required",
+    "dsn": "database dsn is required",
+    "driver": "database driver is required",
+}
+HOMELESS = "job %s has no destination"
+
+
 def job_faults(jobs: DataFrame) -> DataFrame:
     """Adds ``fault`` to rows ``(name, dsn, driver, n_destinations)``: the first one of a job, or NULL."""
 
     def blank(name: str) -> Column:
         return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
 
-    homeless = F.concat(F.lit("job "), "name", F.lit(" has no destination"))
-    return jobs.withColumn(
-        "fault",
-        F.when(blank("name"), "job name is required")
-        .when(blank("dsn"), "database dsn is required")
-        .when(blank("driver"), "database driver is required")
-        .when(F.coalesce("n_destinations", F.lit(0)) == 0, homeless),
-    )
+    homeless = F.format_string(HOMELESS, "name")
+    fault = F.when(F.coalesce("n_destinations", F.lit(0)) == 0, homeless)
+    for name, text in reversed(REQUIRED.items()):
+        fault = F.when(blank(name), text).otherwise(fault)
+    return jobs.withColumn("fault", fault)
 
 
 def validate_jobs(jobs: list[ExportJob], max_parallel: int) -> None:
@@ -245,14 +251,10 @@ def validate_jobs(jobs: list[ExportJob], max_parallel: int) -> None:
         raise ValueError(f"max jobs should be greater than 0, got {max_parallel}")
     faults = []
     for job in jobs:
-        if not job.name.strip():
-            faults.append("job name is required")
-        elif not job.dsn.strip():
-            faults.append("database dsn is required")
-        elif not job.driver.strip():
-            faults.append("database driver is required")
-        elif not job.destinations:
-            faults.append(f"job {job.name} has no destination")
+        missing = [text for name, text in REQUIRED.items() if not getattr(job, name).strip()]
+        if not job.destinations:
+            missing.append(HOMELESS % job.name)
+        faults += missing[:1]
     if faults:
         raise ValueError("\n".join(faults))
 
