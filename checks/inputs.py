@@ -24,6 +24,10 @@ IDLE_METRICS = (
     " Created_tmp_disk_tables: 0 Created_tmp_tables: 0 Count_hit_tmp_table_size: 0 "
 )
 
+#: Input folders are new and read only once they are whole, so tasks may put their files in place
+#: themselves; the driver would move them one by one, and there are as many as chunks or buckets.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 _made: dict[tuple[str, str, str], str] = {}
 
 
@@ -72,31 +76,36 @@ def _log_text(faulty: bool) -> Column:
     )
 
 
-def _write_logs(spark: SparkSession, sf_dir: str, path: str, faulty: bool = False, **options) -> None:
-    logs = table(spark, sf_dir, "events").select(
-        "event_type",
-        F.floor(F.col("event_id") / EVENTS_PER_LOG).alias("chunk"),
-        "event_id",
-        _log_text(faulty).alias("value"),
-    )
-    (
-        logs.repartition("event_type", "chunk")
+def log_lines(spark: SparkSession, sf_dir: str, faulty: bool = False, kinds: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """Events as lines of log files, in order; ``kinds`` are the remainders by four of the chunks wanted.
+
+    Records are rendered after the shuffle and the sort, which take the events' own columns,
+    a small part of the text. The number of tasks is fixed: adaptive execution would take
+    the events for little and render all their text in a few tasks.
+    """
+    events = table(spark, sf_dir, "events").withColumn("chunk", F.floor(F.col("event_id") / EVENTS_PER_LOG))
+    if len(kinds) < 4:
+        events = events.where(F.pmod("chunk", F.lit(4)).isin(*kinds))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (
+        events.repartition(tasks, "event_type", "chunk")
         .sortWithinPartitions("event_type", "chunk", "event_id")
-        .drop("event_id")
-        .write.options(**options)
-        .partitionBy("event_type", "chunk")
-        .text(path)
+        .select("event_type", "chunk", _log_text(faulty).alias("value"))
     )
 
 
+def _write_logs(path: str, lines: DataFrame, **options) -> None:
+    lines.write.options(**BY_TASKS, **options).partitionBy("event_type", "chunk").text(path)
+
+
 def slow_logs(spark: SparkSession, sf_dir: str) -> str:
     """All events as log files ``event_type=…/chunk=…/…``."""
-    return once(spark, sf_dir, "slowlogs", lambda p: _write_logs(spark, sf_dir, p))
+    return once(spark, sf_dir, "slowlogs", lambda p: _write_logs(p, log_lines(spark, sf_dir)))
 
 
 def faulty_logs(spark: SparkSession, sf_dir: str) -> str:
     """The same with malformed records in some files."""
-    return once(spark, sf_dir, "faulty", lambda p: _write_logs(spark, sf_dir, p, faulty=True))
+    return once(spark, sf_dir, "faulty", lambda p: _write_logs(p, log_lines(spark, sf_dir, faulty=True)))
 
 
 def log_place(file: Column) -> list[Column]:
@@ -111,16 +120,11 @@ def flat_logs(spark: SparkSession, sf_dir: str) -> str:
     """Log files in one folder: plain and gzip content, each under plain and ``.gz`` names."""
 
     def make(path: str) -> None:
-        zipped = work_dir(spark, "zipped")
-        _write_logs(spark, sf_dir, zipped, compression="gzip")
-        plain = scan_listing(spark, slow_logs(spark, sf_dir), recursive=True)
-        both = plain.withColumn("zipped", F.lit(0)).unionByName(
-            scan_listing(spark, zipped, recursive=True).withColumn("zipped", F.lit(1))
-        )
+        plain, zipped = work_dir(spark, "plain"), work_dir(spark, "zipped")
+        _write_logs(plain, log_lines(spark, sf_dir, kinds=(0, 1)))
+        _write_logs(zipped, log_lines(spark, sf_dir, kinds=(2, 3)), compression="gzip")
         kind = F.pmod("chunk", F.lit(4))
-        named = both.select("*", *log_place(F.col("uri"))).where(
-            F.col("zipped") == (kind >= 2).cast("int")
-        )
+        named = scan_listing(spark, [plain, zipped], recursive=True).select("*", *log_place(F.col("uri")))
         ending = F.when(kind.isin(1, 2), ".log.gz").otherwise(".log")
         name = F.concat(
             F.lit("event_type="), "event_type", F.lit(",chunk="), F.col("chunk").cast("string"), ending
@@ -144,7 +148,8 @@ def doc_folders(spark: SparkSession, sf_dir: str) -> str:
             docs.repartition("bucket")
             .sortWithinPartitions("bucket", "doc_id")
             .drop("doc_id")
-            .write.partitionBy("bucket")
+            .write.options(**BY_TASKS)
+            .partitionBy("bucket")
             .text(path)
         )
 
@@ -216,7 +221,7 @@ def dump_files(spark: SparkSession, sf_dir: str) -> str:
                 .repartition("dump")
                 .sortWithinPartitions("dump", "key")
                 .drop("key")
-                .write.option("compression", codec)
+                .write.options(compression=codec, **BY_TASKS)
                 .partitionBy("dump")
                 .text(f"{path}/{codec}")
             )
