@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opstrail.functions.paths import base_name, log_number
 from opstrail.functions.times import utc_literal
 from opstrail.operators.ranking import with_ordinal
+from opstrail.sources.changelog import LAST_SEQ
 
 # Where a dump names the log coordinates it was taken at.
 COORDINATES = (
@@ -90,9 +91,11 @@ def after_start(events: DataFrame, log_seq: int | Column, log_pos: int | Column)
 
     ``log_pos`` of an event is its end, so the first event wanted, which
     begins at the start position, ends after it. Where events lie in a folder per log
-    number, folders before the start's are not read, whether the start is a value or a
-    scalar subquery.
+    number or range of numbers, folders before the start's are not read, whether the start is
+    a value or a scalar subquery.
     """
+    if LAST_SEQ in events.columns:
+        events = events.where(F.col(LAST_SEQ) >= log_seq).drop(LAST_SEQ)
     return events.where(F.col("log_seq") >= log_seq).where(
         (F.col("log_seq") > log_seq) | (F.col("log_pos") > log_pos)
     )
