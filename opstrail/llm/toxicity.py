@@ -53,6 +53,8 @@ RIDGE, BALANCE = 2.0, 1.0
 STEPS, RATE = 300, 0.05
 #: One in so many labelled rows checks a model fitted on the others; chance of passing by luck.
 CHECKED, RISK = 5, 0.01
+#: Rows whose words a task holds at a time.
+SLICE = 256
 #: Terms for groups, swapped within a row.
 GROUPS = (
     ("women", "men", "girls", "boys"),
@@ -90,9 +92,14 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most ``rows`` rows, so that no more texts become Python strings at a time."""
+    return (part.slice(at, rows) for part in parts for at in range(0, part.num_rows, rows))
+
+
 def _featured(swaps: dict[str, str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             own, twin = [], []
             for text in part.column(2).to_pylist():
                 words = words_of(text)
@@ -133,7 +140,7 @@ def fit(rows: DataFrame, balance: float = BALANCE) -> tuple[dict[str, float], fl
 
     def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value
-        for part in parts:
+        for part in slices(parts):
             lists = [[[f for f in x or () if f in keep] for x in part.column(i).to_pylist()] for i in (1, 2)]
             has = [x is not None for x in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +178,7 @@ def sums_of(model: Model, texts) -> np.ndarray:
 
 def _scorer(model: Model):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             score = sigmoid(sums_of(model, part.column(1).to_pylist()) + model.bias)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
@@ -232,7 +239,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(text):
-        sums = sums_of(model, text)
+        sums = np.concatenate([sums_of(model, text.iloc[at : at + SLICE]) for at in range(0, max(len(text), 1), SLICE)])
         return text.__class__((sigmoid(sums + model.bias) < threshold) | (sums <= 0))
 
     return docs.withColumn(mark, clean(whole(F.col("text")))).filter(F.col(mark)).drop(mark)
