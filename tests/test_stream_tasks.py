@@ -1,6 +1,6 @@
-"""Few tasks a micro-batch."""
+"""Little to set up for a micro-batch."""
 
-from opstrail.streaming import stream_new_content
+from opstrail.streaming import stream_new_content, stream_slowlog, streams
 
 
 def _wide(spark):
@@ -26,3 +26,17 @@ def test_content_state_has_a_partition_a_core_at_most(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     stores = [p for p in (tmp_path / "mark" / "state" / "0").iterdir() if p.name.isdigit()]
     assert 0 < len(stores) <= cores
+
+
+def test_parsing_is_set_up_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        (tmp_path / "in" / f"{n}.log").write_text(
+            "# Time: 2024-01-01T00:00:00Z\n# User@Host: u[u] @ h [1.1.1.1]\n# Query_time: 1.5\nSET timestamp=1;\nSELECT 1;\n"
+        )
+    made, parse = [], streams.parser_for("mysql")
+    monkeypatch.setattr(streams, "parser_for", lambda engine: lambda raw, **options: made.append(1) or parse(raw, **options))
+    table = str(tmp_path / "table")
+    stream_slowlog(spark, str(tmp_path / "in"), table, str(tmp_path / "mark"), max_files=1).awaitTermination()
+    parts = spark.read.parquet(table)
+    assert parts.count() == 3 == parts.select("batch_id").distinct().count() and len(made) == 1
