@@ -13,6 +13,7 @@ from opstrail.operators import known, ranges
 from opstrail.plans.filesync import copy_by_ranges, mirror_prefix, sync_run
 from opstrail.session import work_dir
 from opstrail.sources import list_files
+from opstrail.sources.files import folders_listed
 from opstrail.streaming import stream_new_content
 
 
@@ -143,7 +144,9 @@ def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = work_dir(spark, "mirror")
     copied = mirror_prefix(spark, inputs.doc_folders(spark, sf_dir), "bucket=", dest)
-    found = spark.read.option("recursiveFileLookup", "true").text(dest).agg(F.count(F.lit(1)).alias("n"))
+    with folders_listed(spark):
+        lines = spark.read.option("recursiveFileLookup", "true").text(dest)
+    found = lines.agg(F.count(F.lit(1)).alias("n"))
     bucket = F.regexp_extract("name", "^([0-9]*)/", 1).cast("long")
     return copied.select(
         bucket.alias("bucket"), "ok", "error", "bytes", "sha256", found.scalar().alias("n_lines")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from opstrail import tasks
 from opstrail.operators.filesync import copy_files
 from opstrail.session import work_dir
 from opstrail.sources.files import scan_listing
@@ -86,9 +87,9 @@ def log_lines(spark: SparkSession, sf_dir: str, faulty: bool = False, kinds: tup
     events = table(spark, sf_dir, "events").withColumn("chunk", F.floor(F.col("event_id") / EVENTS_PER_LOG))
     if len(kinds) < 4:
         events = events.where(F.pmod("chunk", F.lit(4)).isin(*kinds))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
-        events.repartition(tasks, "event_type", "chunk")
+        events.repartition(dealt, "event_type", "chunk")
         .sortWithinPartitions("event_type", "chunk", "event_id")
         .select("event_type", "chunk", _log_text(faulty).alias("value"))
     )
@@ -136,21 +137,25 @@ def flat_logs(spark: SparkSession, sf_dir: str) -> str:
 
 
 def doc_folders(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as text files ``bucket=…/…``."""
+    """All documents as text files ``bucket=…/…``.
+
+    Tasks write the files themselves: Spark's writer takes some 40 ms of a core for each
+    file of a local folder, and there are as many files as buckets.
+    """
 
     def make(path: str) -> None:
         docs = table(spark, sf_dir, "documents").select(
             F.floor(F.col("doc_id") / DOCS_PER_FILE).alias("bucket"),
             "doc_id",
-            F.col("text").alias("value"),
+            F.col("text").cast("binary").alias("value"),
         )
+        folder = F.coalesce(F.col("bucket").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
         (
             docs.repartition("bucket")
             .sortWithinPartitions("bucket", "doc_id")
-            .drop("doc_id")
-            .write.options(**BY_TASKS)
-            .partitionBy("bucket")
-            .text(path)
+            .select(F.concat(F.lit("bucket="), folder).alias("folder"), "value")
+            .mapInArrow(tasks.write_lines(path, "docs.txt"), "folder string, n_lines long")
+            .write.parquet(f"{path}/_written")
         )
 
     return once(spark, sf_dir, "docfolders", make)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 
@@ -12,6 +13,10 @@ from opstrail import tasks
 from opstrail.functions.paths import base_name, glob_to_regex, relative_key
 from opstrail.sources import lines
 
+#: Tasks of a listing for each core, at most.
+TASKS_PER_CORE = 8
+
+
 def as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -29,23 +34,47 @@ def name_filter(pattern: str, name: Column, uri: Column, paths: list[str]) -> Co
     return keep
 
 
+def listing_tasks(spark: SparkSession) -> int:
+    """The most tasks a listing is dealt out to."""
+    return TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+@contextlib.contextmanager
+def folders_listed(spark: SparkSession):
+    """Reads planned here list folders, as Spark does at ``load``, by at most ``listing_tasks``.
+
+    Spark plans a task for each folder, up to 10,000, and starting one takes longer than its folder.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), listing_tasks(spark))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scan_listing(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
     """Every file as ``(path, name, length, modificationTime, uri)``.
 
     File content is never selected, so the scan reads none. Names starting
     with ``_`` or ``.`` are hidden by Spark.
+
+    Spark plans a task for about 32 files, or for fewer large ones. Merely starting Python
+    takes longer than a digest or a copy of 32 small files, so tasks are merged to at most
+    ``TASKS_PER_CORE`` a core.
     """
+    with folders_listed(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(as_list(paths))
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(as_list(paths))
-        .select(
+        found.select(
             "path",
             base_name(F.col("path")).alias("name"),
             "length",
             "modificationTime",
             F.col("_metadata.file_path").alias("uri"),
         )
+        .coalesce(listing_tasks(spark))
     )
 
 

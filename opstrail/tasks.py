@@ -11,6 +11,7 @@ import contextlib
 import gzip
 import hashlib
 import io
+import itertools
 import os
 import re
 import sys
@@ -467,6 +468,28 @@ def copy_to(dest):
     return run
 
 
+def write_lines(dest, base):
+    """Task that writes rows of ``(folder, value)`` in their order, as lines of ``dest/folder/base``.
+
+    Rows of one folder follow each other. Values are bytes, null is an empty line; one
+    file is open at a time, and appears only when complete.
+    """
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(batch.column("folder"), batch.column("value")))
+        for folder, lines in itertools.groupby(rows, lambda row: row[0].as_py()):
+            n = 0
+            with replacing(f"{dest}/{folder}/{base}") as out:
+                for _, value in lines:
+                    if value.is_valid:
+                        out.write(value.as_buffer())
+                    out.write(b"\n")
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([folder], pa.string()), pa.array([n], pa.int64())], names=["folder", "n_lines"])
+
+    return run
+
+
 def local_path(path):
     return _local(path)
 
