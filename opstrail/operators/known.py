@@ -48,12 +48,17 @@ def probes(hashes: DataFrame) -> DataFrame:
 
 
 def append_known(hashes: DataFrame, state: str) -> None:
-    """Add hashes (sha256) to a state: filter bits first, then the hashes."""
+    """Add hashes (sha256) to a state: filter bits first, then the hashes.
+
+    A run writes up to a file for each prefix of both, however few its hashes; the number of
+    tasks is fixed, as adaptive execution would take the hashes for little and leave all files to one.
+    """
+    dealt = min(hashes.sparkSession.sparkContext.defaultParallelism, 16**PREFIX)
     once = hashes.select("sha256").where("sha256 IS NOT NULL").distinct()
     bits = probes(once).groupBy("prefix", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(f"{state}/filter")
+    bits.repartition(dealt, "prefix").write.mode("append").partitionBy("prefix").parquet(f"{state}/filter")
     rows = once.withColumn("prefix", prefix_of(F.col("sha256")))
-    rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(f"{state}/hashes")
+    rows.repartition(dealt, "prefix").write.mode("append").partitionBy("prefix").parquet(f"{state}/hashes")
 
 
 def read_known(spark: SparkSession, state: str) -> DataFrame:
