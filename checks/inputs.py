@@ -26,7 +26,7 @@ IDLE_METRICS = (
 )
 
 #: Input folders are new and read only once they are whole, so tasks may put their files in place
-#: themselves; the driver would move them one by one, and there are as many as chunks or buckets.
+#: themselves; the driver would move them one by one, and there are as many as chunks or dumps.
 BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 _made: dict[tuple[str, str, str], str] = {}
