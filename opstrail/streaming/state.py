@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from operator import itemgetter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,13 +23,15 @@ class FirstSeen(StatefulProcessor):
         self.seen = handle.getValueState("seen", "known boolean", self.keep)
 
     def handleInputRows(self, key, rows, timerValues):
+        if self.seen.exists():
+            return
         first = None
         for part in rows:  # a part at a time: one row is held
-            row = part.loc[part["path"].idxmin()] if len(part) > 1 else part.iloc[0]
-            first = row if first is None or row["path"] < first["path"] else first
-        if first is not None and not self.seen.exists():
+            row = min(zip(part["path"], part["length"]), key=itemgetter(0))
+            first = row if first is None or row[0] < first[0] else first
+        if first is not None:
             self.seen.update((True,))
-            yield pd.DataFrame({"path": [first["path"]], "length": [int(first["length"])], "sha256": [key[0]]})
+            yield pd.DataFrame({"path": [first[0]], "length": [int(first[1])], "sha256": [key[0]]})
 
     def close(self) -> None:
         pass
